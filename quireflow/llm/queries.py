@@ -6,15 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets, toxicity
+from . import bpe, langid, secrets, simhash, toxicity
 from .common import crc_mod, read_table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; rows whose remainder modulo 3 is 1 are held out of the fit."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    seen = labels.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    model = toxicity.fit(docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 3) != 1).join(seen, "doc_id"))
+    model = toxicity.fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -24,6 +23,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.scan(read_table(spark, sf_dir, "documents"))
@@ -36,5 +40,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op7_secrets, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_simhash, op7_secrets, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {}
