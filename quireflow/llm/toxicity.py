@@ -166,15 +166,23 @@ def train(texts: list[str], labels: list[int], epochs=6, rate=0.4, top=0.12, see
     return ToxicityModel(vectors, weights, bias)
 
 
-def fit(labelled: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
-    """Fit on rows labelled 0 or 1 (other rows and null texts are passed over). None if no row is left."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("y").isin(0, 1) & (F.octet_length("text") <= SAMPLE_BYTES))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
+    """Fit on documents labelled 0 or 1 (other labels and null texts are passed over). None if no row is left.
+
+    The sample is drawn from the labels alone, so it is its few ids that travel to the documents and no text is shuffled.
+    An id that is labelled more than once counts by its greatest label.
+    """
+    seen = labels.select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("sample_id").isNotNull())
+    seen = seen.groupBy("sample_id").agg(F.max("y").alias("y"))
+    sizes = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     part = F.create_map(*[F.lit(v) for k in sorted(sizes) for v in (k, min(1.0, sample_rows / sizes[k]))])[F.col("y")]
-    chosen = rows.where(hash_fraction("id", "y") < part).collect()  # about SAMPLE_ROWS of each class
+    ids = seen.where(hash_fraction(F.col("sample_id").cast("string"), F.col("y")) < part)  # about SAMPLE_ROWS of each class
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    chosen = texts.join(F.broadcast(ids), F.col("id") == F.col("sample_id")).select("id", "text", "y").collect()
+    if not chosen:
+        return None
     chosen = sorted(chosen, key=lambda r: (crc32(str(r["id"]).encode()), r["y"], r["text"]))
     held = chosen[::4] if sum(r["y"] for r in chosen) >= 20 else []
     used = [r for i, r in enumerate(chosen) if i % 4] if held else chosen
