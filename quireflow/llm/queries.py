@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets, simhash, toxicity
+from . import bpe, langid, mixing, secrets, simhash, toxicity
 from .common import crc_mod, read_table
 
 
@@ -23,6 +23,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.classes(read_table(spark, sf_dir, "documents"))
@@ -40,5 +45,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_simhash, op7_secrets, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_mixing, op5_simhash, op7_secrets, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {}
