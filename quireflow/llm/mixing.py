@@ -71,16 +71,10 @@ def tilts(aimed: DataFrame, steps: int = STEPS) -> DataFrame:
     return aimed.withColumn("rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(newton)).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, cap=2.0, carry: bool = False) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) of every row; ``carry`` keeps all columns of ``docs`` before these.
-
-    Names of the new columns that ``docs`` has already are lengthened when ``carry`` is set.
-    """
-    new = {n: fresh(docs, n) if carry else n for n in ("size", "source_size", "target", "copies", "taken")}
-    own = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.struct(F.col(id_col))
-    sized = docs.select(own.alias("own"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
-    if not carry:
-        sized = checkpoint(sized.select("id", "source", "size"))  # small rows; the texts are read and counted once
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, cap=2.0) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) of every row."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
+    sized = checkpoint(sized)  # small rows; the texts are read and counted once
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     aimed = checkpoint(tilts(targets(per.select("source", "source_size"))).join(per.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     few = aimed.count() <= BROADCAST_SOURCES
@@ -112,6 +106,19 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(SPACINGS)]))["k"]
     placed = with_source(placed, tried.select("source", best.alias("spacing")))
     copies = F.least((F.col("whole") + extra(offset(F.col("spacing")))).cast("bigint"), F.lit(int(cap)).cast("bigint"))
-    lead = [F.col("own.*")] if carry else [F.col("id").alias(id_col)]
-    values = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("size")}
-    return placed.select(*lead, *[values[n].alias(new[n]) for n in new])
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def resample(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **aims) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    names = {n: fresh(docs, n) for n in ("mix_id", "mix_source", "mix_size", "mix_nth", "mix_copies")}
+    same = [names[n] for n in ("mix_id", "mix_source", "mix_size")]
+
+    def keyed(df: DataFrame, size: Column, order: list[Column]) -> DataFrame:
+        df = df.withColumns({same[0]: F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), same[1]: F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), same[2]: size})
+        return df.withColumn(names["mix_nth"], F.row_number().over(W.partitionBy(*same).orderBy(*order)))
+
+    taken = keyed(mix(docs, id_col, text_col, source_col, **aims), F.col("size"), [F.col("copies")]).where("copies > 0").select(*same, names["mix_nth"], F.col("copies").alias(names["mix_copies"]))
+    rows = keyed(docs, size_of(F.col(text_col)), [F.xxhash64(text_col)]).join(taken, [*same, names["mix_nth"]])
+    nth = fresh(rows, "mix_copy")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), names["mix_copies"])).alias(nth)).select(*docs.columns)

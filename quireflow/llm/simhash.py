@@ -20,6 +20,7 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fresh, map_texts
@@ -170,9 +171,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of every class: the one whose id names the class, once."""
+    """The rows of ``docs`` less all but one of every class: the one whose id names the class.
+
+    Ids are taken to be unique; of rows that share an id, one at most stays.
+    """
+    key, nth = fresh(docs, "kept_key"), fresh(docs, "kept_nth")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")))
+
     ids = classes(docs, id_col, text_col)
-    kept = ids.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(fresh(docs, "kept_id"))).distinct()
-    name = kept.columns[0]
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    return out.dropDuplicates([id_col])
+    kept = keyed(ids.where(F.col(id_col).eqNullSafe(F.col("component_id")))).select(key)
+    out = keyed(docs).join(kept, key, "left_semi")
+    out = out.withColumn(nth, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text_col))))
+    return out.where(F.col(nth) == 1).select(*docs.columns)
