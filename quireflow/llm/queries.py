@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, secrets, simhash, toxicity
+from . import ann, bpe, langid, mixing, pii, secrets, simhash, topk, toxicity
 from .common import crc_mod, read_table
 
 
@@ -43,6 +43,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the highest integer inner product, for every query."""
+    return topk.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; rows whose remainder modulo 4 is 2 are held out of the fit."""
     docs = read_table(spark, sf_dir, "documents")
@@ -50,5 +55,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_mixing, op5_simhash, op7_secrets, op9_language_id)}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found, for every query."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_mixing, op5_simhash, op7_secrets, op8_topk, op9_language_id, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
