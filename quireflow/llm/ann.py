@@ -28,7 +28,7 @@ from .vectors import FOUND, matrix, merged, queries_of, replicated, usable
 #: At most about SAMPLE rows train the index: LISTS centroids, and WORDS codewords in each of about dim / WIDTH subspaces.
 SAMPLE, LISTS, WORDS, WIDTH = 20_000, 64, 128, 4
 #: Lists that a query probes, rows that it reranks in a block, rows and queries of a block.
-PROBES, RERANK, ROWS, QUERIES = 24, 120, 8_192, 2_048
+PROBES, RERANK, ROWS, QUERIES = 50, 400, 8_192, 2_048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
