@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, pii, secrets, simhash, topk, toxicity
+from . import ann, bpe, langid, mixing, pii, secrets, simhash, suffixes, topk, toxicity
 from .common import crc_mod, read_table
 
 
@@ -38,6 +38,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without repeated strings of 400 bytes."""
+    return suffixes.spans_removed(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.scan(read_table(spark, sf_dir, "documents"))
@@ -60,5 +65,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_mixing, op5_simhash, op7_secrets, op8_topk, op9_language_id, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_mixing, op5_simhash, op6_suffixes, op7_secrets, op8_topk, op9_language_id, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
