@@ -52,10 +52,13 @@ def _chunks(original: str, cited: str) -> list[dict[str, str]]:
     return out
 
 
-@F.pandas_udf(CHUNKS)
-def word_diff(original: pd.Series, cited: pd.Series) -> pd.Series:
+def word_diff(original: Column, cited: Column) -> Column:
     """Array of (type, text); the scan depends on its own state, so it runs on Arrow batches in Python."""
-    return pd.Series([_chunks(o, c) for o, c in zip(original, cited, strict=True)])
+
+    def run(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([_chunks(o, c) for o, c in zip(old, new, strict=True)])
+
+    return F.pandas_udf(run, CHUNKS)(original, cited)
 
 
 def line_diff(original: Column, cited: Column, most: int = 30) -> Column:
