@@ -63,3 +63,45 @@ CLAIM = (
 )
 #: Words near a name that make it an institution.
 INSTITUTION = r"(?i)(university|institute|college|laboratory|lab|hospital|school|foundation|center|centre|department|dept|award|prize|association|society|federation|named\s+after|in\s+honor)\b"
+
+#: Word lists of the style detector.
+STYLE_STOPWORDS = (
+    "a an the and or but if while of in on for to from with without by as at is are was were be been being this that these "
+    "those it its their there which who whom what when where why how can could may might will would should also not no such "
+    "than then into through"
+).split()
+STYLE_COMMON = STYLE_STOPWORDS + (
+    "important significant various different multiple overall effective complex approach framework context process "
+    "development analysis result results study research method methods data information system systems provide provides show "
+    "shows suggest suggests"
+).split()
+STYLE_GENERIC = (
+    "important significant effective various multiple complex dynamic critical essential comprehensive robust innovative "
+    "context framework approach implications insights outcomes landscape understanding"
+).split()
+STYLE_HEDGES = "may might could can often generally typically arguably potentially suggests indicates appears".split()
+STYLE_TRANSITIONS = "additionally furthermore moreover therefore thus consequently however nevertheless overall".split()
+#: Phrase rules with their weights and reasons.
+STYLE_PHRASES = (
+    (r"\bit is important to note\b", 0.30, "formulaic qualifier"),
+    (r"\bit is worth noting\b", 0.28, "formulaic qualifier"),
+    (r"\bplays? a (?:crucial|critical|vital|significant) role\b", 0.26, "stock academic phrasing"),
+    (r"\b(?:crucial|critical|vital|essential) (?:role|aspect|component)\b", 0.18, "generic emphasis"),
+    (r"\b(?:comprehensive|robust|holistic|multifaceted|nuanced) (?:approach|understanding|analysis|framework)\b", 0.24, "generic academic phrasing"),
+    (r"\bnot only\b.+\bbut also\b", 0.22, "balanced template structure"),
+    (r"\bthis (?:highlights|underscores|emphasizes) the (?:importance|need|significance)\b", 0.22, "formulaic conclusion"),
+    (r"\bin (?:today's|the) (?:rapidly evolving|modern|contemporary) (?:world|landscape|era|context)\b", 0.30, "stock opener"),
+    (r"\bdelves? into\b", 0.20, "AI-styled verb"),
+    (r"\btapestry\b|\bseamless(?:ly)?\b|\bleverage(?:s|d)?\b|\butili[sz](?:e|es|ed|ing)\b", 0.18, "AI-styled vocabulary"),
+)
+#: What makes a sentence specific.
+STYLE_SPECIFIC = r"(?i)\b(?:\d+(?:\.\d+)?%?|\[[0-9, -]+\]|\([A-Z][A-Za-z-]+,\s*(?:19|20)\d{2}[a-z]?\)|(?:19|20)\d{2}|p\s*[<=>]\s*0\.\d+|doi:|https?://)\b"
+#: Descriptions of the signals.
+STYLE_NOTES = {
+    "predictability": "Text uses common, statistically safe wording.",
+    "rhythm_uniformity": "Sentence lengths and rhythm are unusually even.",
+    "redundancy": "Ideas or phrases repeat across the document.",
+    "low_specificity": "Passages lack concrete names, numbers, citations, or details.",
+    "style_contrast": "Some passages differ from the document baseline style.",
+    "genericity": "Academic-sounding but broad vocabulary appears frequently.",
+}
