@@ -19,7 +19,7 @@ MAX_BYTES = 16 * 1024 * 1024
 EXTENSIONS = ("txt", "docx", "pdf")
 SCHEMA = "path string, ext string, text string, error string"
 WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-BREAKS = str.maketrans({c: "\n" for c in "\x0b\x0c\x1c\x1d\x1e\x85  "})
+BREAKS = str.maketrans({c: "\n" for c in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"})
 
 
 def extension(path: Column) -> Column:
