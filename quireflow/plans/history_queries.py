@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..sources.tables import table
 
-NOW = F.lit("2024-01-15 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-01-15 00:00:00").cast("timestamp")
+
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def history_recent(spark, sf_dir):
 
 def history_live(spark, sf_dir):
     """D-9, U-6."""
-    return H.cleaned(_history(spark, sf_dir), NOW).groupBy("style").agg(F.count("*").alias("n"), F.sum("total_refs").alias("refs"))
+    return H.cleaned(_history(spark, sf_dir), now()).groupBy("style").agg(F.count("*").alias("n"), F.sum("total_refs").alias("refs"))
 
 
 def history_deleted(spark, sf_dir):
@@ -41,7 +43,7 @@ def history_deleted(spark, sf_dir):
 def share_resolved(spark, sf_dir):
     """J-1, D-5."""
     h = _history(spark, sf_dir)
-    return H.resolved(_shared(h), h, NOW).select("token", "id", "filename", "downloads")
+    return H.resolved(_shared(h), h, now()).select("token", "id", "filename", "downloads")
 
 
 def share_downloads(spark, sf_dir):
@@ -54,9 +56,9 @@ def share_downloads(spark, sf_dir):
 def preferences_changed(spark, sf_dir):
     """D-7, D-8, SF-29."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"))
-    p = H.ensured(H.create(spark)["preferences"], e, NOW)
+    p = H.ensured(H.create(spark)["preferences"], e, now())
     changes = p.where(F.col("session_id").cast("long") % 4 == 0).select("session_id", F.create_map(F.lit("theme"), F.lit("light"), F.lit("colour"), F.lit("red")).alias("settings"))
-    return H.updated(p, changes, NOW).select("session_id", "theme", "default_style")
+    return H.updated(p, changes, now()).select("session_id", "theme", "default_style")
 
 
 ROWS = """h as (select event_id::varchar as id, 'f' || user_id || '.docx' as filename, lower(event_type) as style, (props->>'$.k')::int as total_refs, ((props->>'$.k')::int // 2)::int as cited_refs,
