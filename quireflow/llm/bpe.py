@@ -136,7 +136,7 @@ class Tokenizer:
 
 
 #: White space that counts as a separator, as in the pattern class of white space by Unicode.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: For texts without letters or digits beyond the Latin-1 range, the same words by a faster pattern.
 FAST = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
