@@ -89,9 +89,9 @@ def document_signals(s: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def redundancy(s: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Adds redundancy: the share of phrases that other sentences have, and the greatest overlap of content words."""
     s = s.withColumns({"grams": F.array_distinct(F.concat(T.ngrams(F.col("content"), 2), T.ngrams(F.col("content"), 3))), "kinds": F.array_distinct("content")})
-    grams = s.select(doc_id, "pos", F.explode("grams").alias("g"))
+    grams = s.select(doc_id, "pos", F.explode_outer("grams").alias("g")).where("g is not null")
     again = grams.withColumn("df", F.count("*").over(W.partitionBy(doc_id, "g"))).where("df > 1").groupBy(doc_id, "pos").agg(F.count("*").alias("repeated"))
-    words = s.select(doc_id, "pos", F.size("kinds").alias("size"), F.explode("kinds").alias("w"))
+    words = s.select(doc_id, "pos", F.size("kinds").alias("size"), F.explode_outer("kinds").alias("w"))
     a, b = words.alias("a"), words.alias("b")
     shared = a.join(b, (F.col(f"a.{doc_id}") == F.col(f"b.{doc_id}")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") != F.col("b.pos")))
     shared = shared.groupBy(F.col(f"a.{doc_id}").alias(doc_id), F.col("a.pos").alias("pos"), F.col("b.pos").alias("other")).agg(F.count("*").alias("both"), F.first("a.size").alias("x"), F.first("b.size").alias("y"))

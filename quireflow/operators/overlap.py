@@ -58,8 +58,9 @@ def matches(docs: DataFrame, sources: DataFrame, doc_id="doc_id", doc_text="text
     """
     d = profiled(chunks(docs, doc_id, doc_text), doc_id)
     s = profiled(chunks(sources, source_id, source_text), source_id).select(F.col(source_id).alias("source"), F.col("chunk").alias("source_chunk"), F.col("text").alias("source_text"), F.col("normal").alias("source_normal"), F.col("content").alias("source_content"), F.col("shingles").alias("source_shingles"))
-    grams = d.select(doc_id, "chunk", F.size("shingles").alias("n_doc"), F.explode("shingles").alias("gram"))
-    source_grams = s.select("source", "source_chunk", F.size("source_shingles").alias("n_source"), F.explode("source_shingles").alias("gram"))
+    grams = d.select(doc_id, "chunk", F.size("shingles").alias("n_doc"), F.explode_outer("shingles").alias("gram"))
+    source_grams = s.select("source", "source_chunk", F.size("source_shingles").alias("n_source"), F.explode_outer("source_shingles").alias("gram"))
+    # the outer form keeps the planner from testing the array first, which would build all shingles once more; nulls don't join
     shared = grams.join(source_grams, "gram").groupBy(doc_id, "chunk", "source", "source_chunk").agg(F.count("*").alias("shared"), F.max("n_doc").alias("n_doc"), F.max("n_source").alias("n_source"))
     near = shared.withColumn("jaccard", F.col("shared") / (F.col("n_doc") + F.col("n_source") - F.col("shared"))).where(F.col("jaccard") >= THRESHOLD * 0.5)
     full = near.join(d.drop("shingles"), [doc_id, "chunk"]).join(s.drop("source_shingles"), ["source", "source_chunk"])

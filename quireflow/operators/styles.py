@@ -301,11 +301,33 @@ class Second(First):
         return spaced(several(F.col("authors"), some), after(year(), "."), wrap('"', field("title"), '."'), block, F.concat(F.lit(DOI_HOST), linked_doi(), F.lit(".")))
 
 
+class Prepared(First):
+    """The first generation over authors that are structs already."""
+
+    def surname_at(self, i: int) -> Column:
+        return F.get(F.col("authors"), i - 1)["surname"]
+
+    def names(self) -> Column:
+        return F.col("authors")
+
+
 FIRST, SECOND = First(), Second()
+_PREPARED = Prepared()
+
+
+def prepared(refs: DataFrame, generation: Generation) -> tuple[DataFrame, Generation]:
+    """Names are taken apart once for all styles."""
+    if type(generation) is not First:
+        return refs, generation
+    ready = Prepared()
+    ready.markers |= {k: v for k, v in generation.markers.items() if k not in _PREPARED.markers}
+    ready.entries |= {k: v for k, v in generation.entries.items() if k not in _PREPARED.entries}
+    return refs.withColumn("authors", F.transform("authors", lambda a: normalised(a))), ready
 
 
 def styled(refs: DataFrame, generation: Generation, what: str, keep: tuple[str, ...] = ("doc_id", "index")) -> DataFrame:
     """A row for each reference and style with its marker or entry."""
+    refs, generation = prepared(refs, generation)
     make = generation.marker if what == "marker" else generation.entry
     pairs = F.array(*[F.struct(F.lit(s).alias("style"), make(s).alias("text")) for s in STYLES])
     return refs.select(*keep, F.inline(pairs))
@@ -313,6 +335,7 @@ def styled(refs: DataFrame, generation: Generation, what: str, keep: tuple[str,
 
 def bibliography(refs: DataFrame, generation: Generation, style: str, by: str = "doc_id") -> DataFrame:
     """The whole section of every document: head, rule, entries by number, blank lines between."""
+    refs, generation = prepared(refs, generation)
     entries = refs.select(by, F.struct(F.col("index"), generation.entry(style).alias("entry")).alias("e"))
     head = "References\n" + generation.header_rule * 60
     ordered = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"])

@@ -48,7 +48,7 @@ def query_phrase(sentence: Column, n: int = PHRASE_WORDS) -> Column:
 
 def queries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = QUERIES) -> DataFrame:
     """(doc_id, pos, sentence, phrase): the first sentence of every phrase, and the first ``most`` of a document."""
-    s = docs.select(doc_id, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).withColumn("phrase", query_phrase(F.col("sentence")))
+    s = docs.select(doc_id, F.posexplode_outer(sentences(F.col(text))).alias("pos", "sentence")).where("sentence is not null").withColumn("phrase", query_phrase(F.col("sentence")))
     s = s.withColumn("seen", F.row_number().over(W.partitionBy(doc_id, F.xxhash64("phrase"), "phrase").orderBy("pos"))).where("seen = 1").drop("seen")
     return s.withColumn("nth", F.row_number().over(W.partitionBy(doc_id).orderBy("pos"))).where(F.col("nth") <= most).drop("nth")
 
