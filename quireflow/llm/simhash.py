@@ -68,23 +68,37 @@ BUCKET = 64
 FIRST_WIDTH = 64
 
 
-def _variants(df: DataFrame, low: Column, width: int) -> DataFrame:
-    """A row for each half of the bits low .. low + width - 1 and each of its bits left out; the key is lengthened by it.
+def _parts(low: str, half: int) -> str:
+    """SQL for the bits of half ``floor(variant / half)`` of the range that starts at ``low``, without bit ``variant % half``."""
+    return f"shiftrightunsigned(fp, {low} + cast(floor(variant / {half}) as int) * {half}) & {(1 << half) - 1}L & ~shiftleft(1L, cast(variant % {half} as int))"
 
-    Columns: fp, key (array of longs), low and width (of the half that the key does not cover), and the half and
-    wildcard just used.
+
+def _mark(low: Column, half: int) -> Column:
+    side, wild = F.floor(F.col("variant") / half).cast("int"), (F.col("variant") % half).cast("int")
+    return F.struct(low.cast("int").alias("low"), F.lit(half).alias("half"), side.alias("side"), wild.alias("wild"))
+
+
+def _first_signatures(distinct_fps: DataFrame) -> DataFrame:
+    """Members (fp, key, marks, low, n) of all first-level buckets with two members or more.
+
+    The one large shuffle of the search: 64 rows of two numbers a fingerprint, variant and bits packed into the key.
     """
+    rows = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("variant"))
+    rows = rows.select("fp", F.expr(f"shiftleft(cast(variant as bigint), 32) | ({_parts('0', 32)})").alias("packed"))
+    met = checkpoint(rows.withColumn("n", F.count("*").over(W.partitionBy("packed"))).where("n >= 2"))
+    met = met.withColumn("variant", F.shiftright("packed", 32).cast("int"))
+    return met.select("fp", F.array("packed").alias("key"), F.array(_mark(F.lit(0), 32)).alias("marks"), (32 - 32 * F.floor(F.col("variant") / 32)).cast("int").alias("low"), "n")
+
+
+def _next_signatures(rows: DataFrame, width: int) -> DataFrame:
+    """The same for the next cut of the bits low .. low + width - 1 of members of hot buckets; the key grows by it."""
     half = width // 2
-    mask = (1 << half) - 1
-    taken = [c for c in df.columns if c not in ("low",)]
-    out = df.select(*taken, low.alias("base"), F.explode(F.sequence(F.lit(0), F.lit(2 * half - 1))).alias("variant"))
-    side, wild = F.floor(F.col("variant") / half).cast("int"), (F.col("variant") % half).cast("int")
-    bits = F.expr(f"shiftrightunsigned(fp, base + cast(floor(variant / {half}) as int) * {half}) & {mask}L & ~shiftleft(1L, cast(variant % {half} as int))")
-    return out.select(
-        "fp", F.concat(F.col("key"), F.array(F.col("variant").cast("bigint"), bits)).alias("key"),
-        F.concat(F.col("marks"), F.array(F.struct((F.col("base")).cast("int").alias("low"), F.lit(half).alias("half"), side.alias("side"), wild.alias("wild")))).alias("marks"),
-        (F.col("base") + (1 - side) * half).cast("int").alias("low"),
+    out = rows.select("fp", "key", "marks", F.col("low").alias("base"), F.explode(F.sequence(F.lit(0), F.lit(2 * half - 1))).alias("variant"))
+    out = out.select(
+        "fp", F.concat("key", F.array(F.col("variant").cast("bigint"), F.expr(_parts("base", half)))).alias("key"),
+        F.concat("marks", F.array(_mark(F.col("base"), half))).alias("marks"), (F.col("base") + half - half * F.floor(F.col("variant") / half)).cast("int").alias("low"),
     )
+    return checkpoint(out.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n >= 2"))
 
 
 def _canonical(marks: Column, x: Column, y: Column) -> Column:
@@ -107,32 +121,22 @@ def _close(x: Column, y: Column) -> Column:
 def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """All pairs (a, b), a < b, of distinct fingerprints (column fp) at a distance of 1 to DISTANCE, each once.
 
-    A bucket with two members needs no list: its least and greatest member are the pair. Only members of larger buckets
-    are looked up again; those of buckets beyond ``bucket`` go on to the next cut.
+    Members of a bucket of up to ``bucket`` are compared within one row, which gives only the links; members of larger
+    buckets go on to the next cut.
     """
-    found = []
-    rows = distinct_fps.select("fp", F.array().cast("array<bigint>").alias("key"), F.expr("cast(array() as array<struct<low:int,half:int,side:int,wild:int>>)").alias("marks"), F.lit(0).alias("low"))
-    width = FIRST_WIDTH
+    out, width, rows = None, FIRST_WIDTH, _first_signatures(distinct_fps)
     for level in (1, 2, 3):
-        signed = _variants(rows, F.col("low"), width)
-        met = signed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.first("marks").alias("marks")).where("n >= 2")
-        met = checkpoint(met.select("key", "n", "marks", F.when(F.col("n") == 2, F.col("a")).alias("a"), F.when(F.col("n") == 2, F.col("b")).alias("b")).where((F.col("n") > 2) | _close(F.col("a"), F.col("b"))))
-        found.append(met.where((F.col("n") == 2) & _canonical(F.col("marks"), F.col("a"), F.col("b"))).select("a", "b"))
-        sizes = met.groupBy().agg(F.max("n").alias("n")).first()["n"] or 0
-        if sizes <= 2:
-            break
         last = level == 3
-        many = signed.join(met.where("n > 2").select("key", "n"), "key")
-        small = many if last else many.where(F.col("n") <= bucket)
+        small = rows if last else rows.where(F.col("n") <= bucket)
         lists = small.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("m"), F.first("marks").alias("marks"))
         pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y > x) & _close(x, y) & _canonical(F.col("marks"), x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        found.append(lists.select(F.inline(pairs)))
-        if last or sizes <= bucket:
-            break
-        rows, width = checkpoint(many.where(F.col("n") > bucket).select("fp", "key", "marks", "low")), width // 2
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+        found = lists.select(F.inline(pairs))
+        out = found if out is None else out.unionAll(found)
+        hot = rows.where(F.col("n") > bucket)
+        if last or hot.isEmpty():
+            return out
+        width //= 2
+        rows = _next_signatures(hot, width)
     return out
 
 
