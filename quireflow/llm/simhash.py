@@ -163,29 +163,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    known = checkpoint(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], "fp", shingle))
+def _rooted(known: DataFrame) -> DataFrame:
+    """fp, the root of its class, and component_id, of all distinct fingerprints of ``known`` (id, fp)."""
     per = checkpoint(known.groupBy("fp").agg(F.min("id").alias("least")))
     stars = components(links(per.select("fp")))
     rooted = per.join(stars, per["fp"] == stars["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = checkpoint(rooted.join(named, "root").select("fp", "component_id"))
-    return known.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return checkpoint(rooted.join(named, "root").select("fp", "root", "component_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+    known = checkpoint(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], "fp", shingle))
+    return known.join(_rooted(known), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of every class: the one whose id names the class.
+    """The rows of ``docs`` less all but one of every class: the one with the least id, then the least digest of the text.
 
-    Ids are taken to be unique; of rows that share an id, one at most stays.
+    Rows are told apart by id and text, so null and shared ids stand for as many classes as their texts form; a null id
+    comes last. Of rows that agree in both, one at most stays.
     """
     key, nth = fresh(docs, "kept_key"), fresh(docs, "kept_nth")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")))
+    def keyed(id_: str, text: str) -> Column:
+        return F.concat(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit("")))
 
-    ids = classes(docs, id_col, text_col)
-    kept = keyed(ids.where(F.col(id_col).eqNullSafe(F.col("component_id")))).select(key)
-    out = keyed(docs).join(kept, key, "left_semi")
-    out = out.withColumn(nth, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text_col))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), keyed(id_col, text_col).alias("key"))
+    known = checkpoint(fingerprints(rows, "text", ["id", "key"], "fp"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
+    kept = known.join(_rooted(known).select("fp", "root"), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    out = docs.withColumn(key, keyed(id_col, text_col)).join(kept, key, "left_semi")
+    out = out.withColumn(nth, F.row_number().over(W.partitionBy(key).orderBy(F.col(text_col).isNull())))
     return out.where(F.col(nth) == 1).select(*docs.columns)

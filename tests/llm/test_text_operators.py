@@ -244,6 +244,13 @@ def test_classes_on_awkward_rows(awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 5").count() == 1 and simhash.keep_one(empty).count() == 0
 
 
+def test_one_row_of_every_class_stays_whatever_the_ids(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(8)]
+    rows = [(7, texts[0]), (7, texts[1]), (3, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (9, texts[3]), (5, texts[4]), (5, texts[5]), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["text"] or "", r["doc_id"] or 0) for r in kept.collect()) == sorted([("", 0), (texts[0], 7), (texts[1], 3), (texts[2], 0), (texts[3], 9), (texts[4], 5), (texts[5], 5)])
+
+
 def removed_brute(texts, window=400):
     from collections import Counter
 
