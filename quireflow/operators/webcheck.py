@@ -18,8 +18,17 @@ QUERIES, LEAST_WORDS, PHRASE_WORDS, GATE, HIGH, FETCH = 20, 12, 9, 0.20, 0.50, 3
 
 
 def page_text(html: Column, most: int = FETCH) -> Column:
-    """Text of the first ``5 * most`` bytes without tags and entities, single spaces, cut to ``most`` characters."""
-    raw = F.decode(F.substring(F.encode(html, "UTF-8"), 1, most * 5), "UTF-8")
+    """Text of the first ``5 * most`` bytes without tags and entities, single spaces, cut to ``most`` characters.
+
+    A character that the limit cuts in two is left out.
+    """
+    data, n = F.encode(html, "UTF-8"), most * 5
+
+    def inside(at: int) -> Column:
+        return F.hex(F.substring(data, at + 1, 1)).rlike("^[89AB]")
+
+    cut = F.when(~inside(n), n).when(~inside(n - 1), n - 1).when(~inside(n - 2), n - 2).otherwise(n - 3)
+    raw = F.decode(F.substring(data, F.lit(1), cut), "UTF-8")
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), "&[a-z]+;", " "), r"\s+", " ")
     return F.substring(flat, 1, most)
 

@@ -16,6 +16,11 @@ def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(F.octet_length("html") <= 15000).select("page_id", webcheck.page_text(F.col("html")).alias("text"))
 
 
+def page_texts_all(spark, sf_dir):
+    """IO-16, longer pages too: the SQL of ``page_texts`` leaves them out. Held against brute force."""
+    return table(spark, sf_dir, "pages").select("page_id", webcheck.page_text(F.col("html")).alias("text"))
+
+
 def web_phrases(spark, sf_dir):
     """TG-5, A-20, W-10, K-7, PF-18."""
     return webcheck.queries(table(spark, sf_dir, "documents").where("lang = 'en'")).select("doc_id", "phrase")
@@ -77,7 +82,7 @@ def diff_words(spark, sf_dir):
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in OVERLAP_STOPWORDS) + "]"
-QUERIES = {f.__name__: f for f in (page_texts, web_phrases, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
+QUERIES = {f.__name__: f for f in (page_texts, page_texts_all, web_phrases, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
 ORACLE_SQL = {
     "page_texts": "select page_id, substr(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\\s+', ' ', 'g'), 1, 3000) as text from pages where strlen(html) <= 15000",
     "web_phrases": f"""with s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), 1) as pos from documents where lang = 'en'),
