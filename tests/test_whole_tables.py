@@ -2,12 +2,15 @@
 
 import os
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quireflow.operators import webcheck
+from quireflow.operators.authors import surname
+from quireflow.plans.manuscripts import references
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="test tables are not here")
@@ -17,6 +20,15 @@ def rows(spark, name, sf_dir=SF):
     return entry.queries()[name](spark, sf_dir).collect()
 
 
+@pytest.fixture(scope="module")
+def refs(spark):
+    """(index, surname, year) of the references of every document, in order."""
+    out = defaultdict(list)
+    for r in references(spark, SF).withColumn("s", surname(F.get("authors", F.lit(0)))).orderBy("doc_id", "index").collect():
+        out[r["doc_id"]].append((r["index"], r["s"], r["year"]))
+    return out
+
+
 def page_text_brute(html):
     raw = html.encode()[:15000].decode("utf-8", "ignore")
     return re.sub(r"\s+", " ", re.sub("&[a-z]+;", " ", re.sub("<[^>]+>", " ", raw)), flags=re.A)[:3000]
@@ -32,3 +44,20 @@ def test_page_text_at_a_cut_character(spark):
     pages = ["<p>" + "<b>" * 4900 + "x" * i + c * 400 for c in "é中😀" for i in range(5)] + ["short é", ""]
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
     assert {r["i"]: r["t"] for r in df.select("i", webcheck.page_text(F.col("html")).alias("t")).collect()} == {i: page_text_brute(h) for i, h in enumerate(pages)}
+
+
+def test_confidence_of_all_kinds_of_markers(spark, refs):
+    want = {}
+    for d, items in refs.items():
+        named = Counter((s, y) for _, s, y in items if s and y)
+        for i, s, y in items:
+            hits = 1 if d % 3 == 0 else named[s, y] if d % 3 == 1 else 0
+            want[d, i] = 95 if hits >= 3 else (0, 75, 85)[hits]
+    got = rows(spark, "reference_confidence_all")
+    assert {(r["doc_id"], r["idx"]): r["confidence"] for r in got} == want and any(v and d % 3 == 1 for (d, _), v in want.items())
+    assert all((r["status"], r["tier"]) == {0: ("✗ not found", "none"), 75: ("✓ cited", "medium")}.get(r["confidence"], ("✓ cited", "high")) for r in got)
+    means = {d: [want[d, i] for i, _, _ in items] for d, items in refs.items()}
+    for r in rows(spark, "confidence_summaries_all"):
+        of = means.pop(r["doc_id"])
+        assert (r["total"], r["cited"]) == (len(of), sum(v > 0 for v in of)) and abs(r["avg_confidence"] - sum(of) / len(of)) <= 0.0501
+    assert not means
