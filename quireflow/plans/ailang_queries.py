@@ -16,15 +16,23 @@ CASES = (
 )
 
 
-def ai_sentence_signals(spark, sf_dir):
-    """SF-15 to SF-17, A-18, PF-15, TG-9: signals of single sentences, of English documents and of composed ones."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+def _sentence_signals(spark, sf_dir, d):
     s = d.select("doc_id", F.posexplode(webcheck.sentences(F.col("text"))).alias("pos", "text"))
     more = table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("doc_id"), F.posexplode(F.array(*[F.concat(F.lit(c), F.lit(" "), F.col("p_name")) for c in CASES])).alias("pos", "text"))
     out = ailang.sentence_signals(s.unionByName(more))
     return out.select("doc_id", "pos", "n", *[F.round(c, 6).alias(c) for c in ("phrase", "predictability", "genericity", "low_specificity")])
 
 
+def ai_sentence_signals(spark, sf_dir):
+    """SF-15 to SF-17, A-18, PF-15, TG-9: signals of single sentences, of English documents and of composed ones."""
+    return _sentence_signals(spark, sf_dir, table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+def ai_sentence_signals_all(spark, sf_dir):
+    """The same of documents in any language, which the SQL of ``ai_sentence_signals`` leaves out. Held against brute force."""
+    return _sentence_signals(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
 def ai_language_documents(spark, sf_dir):
     """Q-6, TG-4, TG-6, J-8, J-9, A-6, A-10, A-12, A-13, W-8, W-12, K-6, SF-18, IO-19."""
     d = ailang.documents(ailang.analysed(table(spark, sf_dir, "documents")))
@@ -53,7 +61,7 @@ def _q(p: str) -> str:
 
 PHRASES = " + ".join(f"case when regexp_matches(low, {_q(p)}) then {w}::double else 0 end" for p, w, _ in V.STYLE_PHRASES)
 SPLIT = "string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
-QUERIES = {f.__name__: f for f in (ai_sentence_signals, ai_language_documents, ai_language_paragraphs, ai_language_locations)}
+QUERIES = {f.__name__: f for f in (ai_sentence_signals, ai_sentence_signals_all, ai_language_documents, ai_language_paragraphs, ai_language_locations)}
 ORACLE_SQL = {
     "ai_sentence_signals": f"""with d as (select doc_id, list_filter(list_transform({SPLIT}, lambda x: trim(x)), lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')) >= 12) as ss from documents where lang = 'en'
   union all select -p_partkey, [{', '.join(_q(c) + " || ' ' || p_name" for c in CASES)}] from part),

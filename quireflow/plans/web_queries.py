@@ -26,6 +26,11 @@ def web_phrases(spark, sf_dir):
     return webcheck.queries(table(spark, sf_dir, "documents").where("lang = 'en'")).select("doc_id", "phrase")
 
 
+def web_phrases_all(spark, sf_dir):
+    """TG-5, A-20, W-10, K-7, PF-18, in any language: the SQL of ``web_phrases`` takes English only. Held against brute force."""
+    return webcheck.queries(table(spark, sf_dir, "documents")).select("doc_id", "phrase")
+
+
 def web_check(spark, sf_dir):
     """J-14, PF-14, Q-5, IO-15."""
     return webcheck.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")).select("doc_id", "pos", "page_id", "risk", F.round("jaccard", 6).alias("jaccard"))
@@ -82,7 +87,7 @@ def diff_words(spark, sf_dir):
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in OVERLAP_STOPWORDS) + "]"
-QUERIES = {f.__name__: f for f in (page_texts, page_texts_all, web_phrases, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
+QUERIES = {f.__name__: f for f in (page_texts, page_texts_all, web_phrases, web_phrases_all, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
 ORACLE_SQL = {
     "page_texts": "select page_id, substr(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\\s+', ' ', 'g'), 1, 3000) as text from pages where strlen(html) <= 15000",
     "web_phrases": f"""with s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), 1) as pos from documents where lang = 'en'),

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quireflow.functions import vocabulary as V
 from quireflow.operators import webcheck
 from quireflow.operators.authors import surname
+from quireflow.plans.ailang_queries import CASES
 from quireflow.plans.manuscripts import references
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -29,6 +31,41 @@ def refs(spark):
     return out
 
 
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def sentences_brute(text):
+    parts = re.split(r"(?<=[.!?])\s+(?=[A-Z])", re.sub(r"\s+", " ", text or "", flags=re.A), flags=re.A)
+    return [p.strip(" ") for p in parts if len(p.split(" ")) - p.split(" ").count("") >= 12]
+
+
+def phrase_brute(sentence):
+    w = [x for x in sentence.split(" ") if x]
+    content = [x.lower().strip(".,;:") not in V.OVERLAP_STOPWORDS and len(x) > 3 for x in w]
+    return " ".join(w[(at := max(range(len(w) - 8), key=lambda i: (sum(content[i : i + 9]), -i))) : at + 9])
+
+
+def clamp(x):
+    return max(0.0, min(1.0, x))
+
+
+def signals_brute(text):
+    w, low = [x.lower() for x in re.findall("[A-Za-z][A-Za-z'-]*", text)], text.lower()
+    n = len(w)
+    if n < 5:
+        return None
+    share = lambda xs: sum(x in xs for x in w)
+    starts = w[0] in V.STYLE_TRANSITIONS or " ".join(w[:2]) in ("in addition", "as a")
+    phrase = sum(weight for p, weight, _ in V.STYLE_PHRASES if re.search(p, low)) + 0.08 * starts
+    predictability = share(V.STYLE_COMMON) / n * 0.65 + (1 - len(set(w)) / n) * 0.25 + 0.1 * (sum(map(len, w)) / n < 5.2)
+    genericity = share(V.STYLE_GENERIC) / n * 3.4 + 0.12 * (share(V.STYLE_HEDGES) >= 2)
+    content = sum(x not in V.STYLE_STOPWORDS and len(x) > 2 for x in w)
+    specific = len(list(re.finditer(V.STYLE_SPECIFIC, text))) * 0.35 + len(re.findall(r"\b[A-Z][a-z]{3,}\b", text)) * 0.08 + content / n * 0.65
+    return (n, phrase, clamp(predictability), clamp(genericity), clamp(1 - min(1, specific)))
+
+
 def page_text_brute(html):
     raw = html.encode()[:15000].decode("utf-8", "ignore")
     return re.sub(r"\s+", " ", re.sub("&[a-z]+;", " ", re.sub("<[^>]+>", " ", raw)), flags=re.A)[:3000]
@@ -61,3 +98,22 @@ def test_confidence_of_all_kinds_of_markers(spark, refs):
         of = means.pop(r["doc_id"])
         assert (r["total"], r["cited"]) == (len(of), sum(v > 0 for v in of)) and abs(r["avg_confidence"] - sum(of) / len(of)) <= 0.0501
     assert not means
+
+
+def test_web_phrases_in_any_language(spark, documents):
+    want = {d: list(dict.fromkeys(map(phrase_brute, sentences_brute(text))))[:20] for d, text in documents.items()}
+    got = defaultdict(list)
+    for r in rows(spark, "web_phrases_all"):
+        got[r["doc_id"]].append(r["phrase"])
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items() if x}
+
+
+def test_sentence_signals_in_any_language(spark, documents):
+    want = {(d, i): signals_brute(s) for d, text in documents.items() for i, s in enumerate(sentences_brute(text))}
+    for r in spark.read.parquet(f"{SF}/part.parquet").collect():
+        want |= {(-r["p_partkey"], i): signals_brute(f"{c} {r['p_name']}") for i, c in enumerate(CASES)}
+    want = {k: v for k, v in want.items() if v}
+    got = {(r["doc_id"], r["pos"]): (r["n"], r["phrase"], r["predictability"], r["genericity"], r["low_specificity"]) for r in rows(spark, "ai_sentence_signals_all")}
+    assert got.keys() == want.keys()
+    bad = [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=2e-6)]
+    assert not bad, bad[:3]
