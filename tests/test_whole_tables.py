@@ -13,6 +13,7 @@ from quireflow.operators import webcheck
 from quireflow.operators.authors import surname
 from quireflow.plans.ailang_queries import CASES
 from quireflow.plans.manuscripts import references
+from quireflow.plans.marker_queries import bodies
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="test tables are not here")
@@ -117,3 +118,14 @@ def test_sentence_signals_in_any_language(spark, documents):
     assert got.keys() == want.keys()
     bad = [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=2e-6)]
     assert not bad, bad[:3]
+
+
+def test_markers_of_every_body(spark, refs):
+    body = {r["doc_id"]: r["text"] for r in bodies(spark, SF).collect()}
+    numbers = {d: ",".join(str(i) for i, _, _ in items) if d % 3 == 0 else "" for d, items in refs.items()}
+    assert {r["doc_id"]: r["numbers"] for r in rows(spark, "cited_numbers_all")} == numbers and body.keys() == refs.keys()
+    for name, kind in (("numbered_reformatted", 0), ("named_reformatted", 1)):
+        got = {r["doc_id"]: r["cited"] for r in rows(spark, f"{name}_all")}
+        changed = {r["doc_id"]: r["cited"] for r in rows(spark, name)}
+        assert got == {d: changed[d] if d % 3 == kind else text for d, text in body.items()}
+        assert sum(got[d] != body[d] for d in body) > len(body) / 4
