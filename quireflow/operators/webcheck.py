@@ -1,8 +1,9 @@
 """Sentences against web pages, offline: a table of pages stands in for the search engine and the fetch.
 
-A page is a hit of a sentence's search phrase if its text holds the phrase. To find these without comparing every sentence
-with every page, both sides are joined on the phrase's word n-gram: the phrase has a fixed number of words, so the page's
-n-grams of that length hold it.
+A page is a hit of a sentence's search phrase if its normalised words hold those of the phrase in a row. To find these
+without comparing every sentence with every page, both sides are joined on the phrase's first KEY_WORDS normalised words,
+or all if there are fewer, as normalising can leave any number of words; the whole phrase is then looked up on the pages
+met. A phrase without letters and digits hits nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from ..functions import text as T
 from ..functions.vocabulary import OVERLAP_STOPWORDS
 
 QUERIES, LEAST_WORDS, PHRASE_WORDS, GATE, HIGH, FETCH = 20, 12, 9, 0.20, 0.50, 3000
+KEY_WORDS = 6
 
 
 def page_text(html: Column, most: int = FETCH) -> Column:
@@ -72,10 +74,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def check(docs: DataFrame, pages: DataFrame, doc_id: str = "doc_id", page_id: str = "page_id") -> DataFrame:
     """The first page (by id) that bears out a sentence: coefficient at GATE or more, or a shared phrase."""
-    q = queries(docs, doc_id).withColumn("key", T.normalise(F.col("phrase")))
+    q = queries(docs, doc_id).withColumn("asked", T.normalise(F.col("phrase"))).where("asked <> ''")
+    q = q.withColumn("key", F.array_join(F.slice(T.words(F.col("asked")), 1, KEY_WORDS), " "))
     p = pages.select(F.col(page_id), "url", title(F.col("html")).alias("title"), T.normal_words(page_text(F.col("html"))).alias("pw"))
-    grams = p.select(page_id, F.explode(F.array_distinct(F.flatten(F.array(*[T.ngrams(F.col("pw"), n) for n in (PHRASE_WORDS - 1, PHRASE_WORDS, PHRASE_WORDS + 1)])))).alias("key"))
-    met = q.join(grams, "key").join(p, page_id)
+    grams = p.select(page_id, F.explode(F.array_distinct(F.flatten(F.array(*[T.ngrams(F.col("pw"), n) for n in range(1, KEY_WORDS + 1)])))).alias("key"))
+    held = F.contains(F.concat(F.lit(" "), F.array_join("pw", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("asked"), F.lit(" ")))
+    met = q.join(grams, "key").join(p, page_id).where(held)
     w = T.normal_words(F.col("sentence"))
     met = met.withColumn("jaccard", jaccard(T.shingles(w), T.shingles(F.col("pw")))).withColumn("phrases", F.filter(T.rare_phrases(w, OVERLAP_STOPWORDS), lambda x: F.contains(F.array_join("pw", " "), x)))
     met = met.where((F.col("jaccard") >= GATE) | (F.size("phrases") > 0))

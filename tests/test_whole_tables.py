@@ -129,3 +129,14 @@ def test_markers_of_every_body(spark, refs):
         changed = {r["doc_id"]: r["cited"] for r in rows(spark, name)}
         assert got == {d: changed[d] if d % 3 == kind else text for d, text in body.items()}
         assert sum(got[d] != body[d] for d in body) > len(body) / 4
+
+
+@pytest.mark.parametrize("sentence", [
+    "alpha | bravo | charlie | delta | echo foxtrot golfing hotels indigo",
+    "state-of-the-art methods l'eau aujourd'hui well-known results follow from long-standing practice elsewhere entirely",
+    "alpha bravo charlie delta echos foxtrot golfing hotels indigo juliet kilos limas",
+])
+def test_phrases_that_normalise_to_any_number_of_words_are_found(spark, sentence):
+    docs = spark.createDataFrame([(1, sentence + " of the very last words.")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "u", f"<p>{sentence[:45]} nothing more</p>"), (2, "v", f"<title>T</title><p>Here is {sentence} of the very last words.</p>")], "page_id long, url string, html string")
+    assert [(r["doc_id"], r["page_id"]) for r in webcheck.check(docs, pages).collect()] == [(1, 2)]
