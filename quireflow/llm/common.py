@@ -10,6 +10,7 @@ Conventions that hold for every operator of this subpackage unless its docstring
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -88,16 +89,31 @@ def hash_fraction(*cols: Column) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    """Cut the lineage with a reliable checkpoint in the folder that the session names in ``spark.checkpoint.dir``.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quireflow-checkpoint-"))
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    A folder of the driver's own would be out of the executors' reach; so where none is named, only a session that runs in
+    one process gets one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="quireflow-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> DataFrame:
+    """Let go of shuffle files that only the lineage cut before ``df`` used: Spark drops them when the driver collects."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

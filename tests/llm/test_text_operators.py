@@ -266,9 +266,27 @@ def removed_brute(texts, window=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeated_strings(spark, monkeypatch, hot):
+def passages_brute(texts, size=51):
+    """(passages, words in them): maximal runs of words covered by ``size`` words that also stand in another document."""
+    words = [re.findall(r"[^ \t-\r]+", t or "") for t in texts]
+    homes = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - size + 1):
+            homes.setdefault(tuple(w[k : k + size]), set()).add(i)
+    out = []
+    for w in words:
+        own = np.zeros(len(w), bool)
+        for k in range(len(w) - size + 1):
+            if len(homes[tuple(w[k : k + size])]) > 1:
+                own[k : k + size] = True
+        out.append((int((np.diff(np.concatenate([[0], own.astype(int)])) == 1).sum()), int(own.sum())))
+    return out
+
+
+@pytest.mark.parametrize("hot,fine", [(4096, 10), (2, 10), (1, 3)])
+def test_repeated_strings(spark, monkeypatch, hot, fine):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "FINE", fine)
     rng = random.Random(1)
 
     def noise(n):
@@ -282,8 +300,30 @@ def test_repeated_strings(spark, monkeypatch, hot):
     for t in texts[10:25]:
         i = rng.randint(0, len(t) - 1)
         texts.append(t[:i] + "Z" + t[i + 1 :])
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.spans_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == removed_brute(texts)
+    alone = noise(700) + " "
+    texts += [alone * 2, " ".join("ab" * 51), " ".join("ab" * 51), "x " * 200, " ".join("cd" * 200)]
+    got = {r["doc_id"]: r for r in suffixes.spans_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [tuple(got[i][1:5]) for i in range(len(texts))] == removed_brute(texts)
+    found = passages_brute(texts)
+    assert [tuple(got[i][5:7]) for i in range(len(texts))] == found and found[len(texts) - 5] == (0, 0) and sum(n for n, _ in found) > 20
+
+
+def test_pieces_do_not_change_what_is_found(spark, monkeypatch):
+    """Words and runs that a piece's end cuts, in texts that lie end to end."""
+    from quireflow.llm import anchors
+
+    rng = random.Random(3)
+    texts = ["", *["".join(rng.choice("abc  \n") for _ in range(rng.randint(0, 900))) for _ in range(30)], "q" * 700, ""]
+    data, offsets = suffixes.symbols_of(__import__("pyarrow").array(texts))
+    whole = anchors.words_of(data, offsets)
+    monkeypatch.setattr(anchors, "PIECE", 97)
+    words, at = anchors.words_of(data, offsets)
+    assert at.tolist() == whole[1].tolist() == np.cumsum([0, *[len(t.split()) for t in texts]]).tolist()
+    as_words = [w for t in texts for w in t.split() if len(w) <= 97]
+    assert len(set(words[[len(w) <= 97 for t in texts for w in t.split()]].tolist())) == len(set(as_words))
+    unit = suffixes.Unit(False, 60, 12, 4, 0)
+    covered = {(d, (p >> suffixes.START) + i) for docs, _, _, places in suffixes.stretches(data, offsets, unit) for d, p in zip(docs.tolist(), places.tolist()) for i in range(p >> suffixes.COUNT & suffixes.FIELD)}
+    assert covered == {(d, s) for d, t in enumerate(texts) for s in range(len(t) - 59)}
 
 
 def test_interval_expansion():
