@@ -44,7 +44,7 @@ from .common import checkpoint, fresh, release
 
 WINDOW, PASSAGE = 400, 51
 #: Different stretches that a task brings together on average, and of one core at most; windows of a finer bucket.
-TOGETHER, HOT, FINE = 3_000, 4_096, 16
+TOGETHER, HOT, FINE = 512, 512, 16
 #: Bytes of the texts that a task walks at a time, but for a longer text.
 SLICE = 1 << 22
 #: A place is one number: start, number of windows, distance of the first one to the anchor, bucket; their lowest bits.

@@ -1,4 +1,8 @@
-"""Vectors for the two searches: which rows take part, blocks of rows against blocks of queries, and the merged top k."""
+"""Vectors for the two searches: which rows take part, blocks of rows against blocks of queries, and the merged top k.
+
+Defined results: rows with a null id, and with a vector that is null, empty, or holds null or non-finite components, take no
+part. Repeated rows are rows each; a repeated query id asks once, with its least vector. Extra columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,10 @@ from pyspark.sql import functions as F
 FOUND = "query_id long, vec_id long, score {}"
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str, limit: float | None = None) -> DataFrame:
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v, dim): rows whose id is not null and whose vector has components, all of them finite numbers."""
-    top = F.lit(float("inf") if limit is None else limit)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < top))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine).withColumn("dim", F.size("v"))
 
 
@@ -40,7 +43,10 @@ def matrix(table: pa.Table, column: str) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over all blocks, ties to the smaller id; each task first keeps its own k best."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def merged(found: DataFrame, k: int, *first: str) -> DataFrame:
+    """The k best of each query over all blocks by score (and the columns ``first``), ties to the smaller id.
+
+    Each task first keeps its own k best.
+    """
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), *map(F.desc, first), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

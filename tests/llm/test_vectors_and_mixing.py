@@ -62,6 +62,49 @@ def test_neighbours_reach_the_recall(spark, monkeypatch):
     assert all(abs(s - x[i] @ x[q]) < 1e-9 for q, hits in got.items() for i, s in hits)
 
 
+def test_any_finite_component_takes_part(spark):
+    """Components from fractions up to the greatest double, whose scores no long holds, next to small ones."""
+    rng = np.random.default_rng(2)
+    big = [0.5, -3.25, 1e7, -3e7, 2.0**40, -(2.0**62), 1e19, 1.7e308, -1.7e308]
+    rows = [(i, [float(rng.choice(big if i % 3 else big[:2])) for _ in range(3)]) for i in range(130)] + [(1000, [1.0, 2.0]), (1001, [3e7, 0.0]), (1002, [1.0, 1.0]), (1020, [0.0, 1.0])]
+    whole = {i: [int(np.floor(x * 64)) if abs(x) < 1e300 else int(x) * 64 for x in v] for i, v in rows}
+    got = found(topk.search(table(spark, rows)))
+    assert set(got) == {i for i in whole if i % 20 == 0}
+    for q, hits in got.items():
+        scores = {i: sum(a * b for a, b in zip(v, whole[q])) for i, v in whole.items() if i != q and len(v) == len(whole[q])}
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        assert hits == [(i, max(-(2**63), min(2**63 - 1, scores[i]))) for i in best]
+
+
+def test_neighbours_among_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 2)), rng.normal(size=(50, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, v.tolist()) for i, v in enumerate(y)]
+    got = found(ann.search(table(spark, rows)))
+    assert set(got) == {0, 20, 40, 100, 120, 140}
+    for q, hits in got.items():
+        ids, own = (np.arange(60), x) if q < 100 else (np.arange(100, 150), y)
+        assert [i for i, _ in hits] == brute(ids, own, (q, own[q % 100]))
+
+
+def test_clashing_names_do_not_matter(spark):
+    vectors, _ = made(60, 4)
+    plain = table(spark, vectors)
+    clashing = plain.selectExpr("vec_id", "embedding", "'a' as list", "1 as codes", "2 as rb", "3 as qb", "4 as v", "5 as rank", "6 as query_id", "7 as beyond")
+    for search in (topk.search, ann.search):
+        assert found(search(clashing)) == found(search(plain))
+
+
+def test_probes_follow_the_clusters():
+    rng = np.random.default_rng(6)
+    centres = 8 * rng.normal(size=(40, 12))
+    clustered = np.concatenate([c + 0.1 * rng.normal(size=(50, 12)) for c in centres])
+    loose = rng.normal(size=(2000, 12))
+    few, many = (ann.Index.train(x, len(x), 100, 20) for x in (clustered, loose))
+    assert len(few.centres) == len(many.centres) == 45 and few.n_probes <= 12 < many.n_probes
+    assert len(ann.Index.train(loose, 10_000, 500, 20).centres) == 2000 // 32 and ann.Index.train(loose, 1_000_000, 50_000, 20).row_blocks.sum() >= 1_000_000 / ann.ROWS
+
+
 AWKWARD = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [0.0, 0.0]), (1, [0.5, 0.5])]
 
 
