@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,15 +91,60 @@ def expand_numbers(c: Column, dashes: str = "-–") -> Column:
     return F.flatten(F.transform(F.split(c, ","), part))
 
 
+#: Elements that one fold appends to; code points of a block.
+BLOCK, CUT = 256, 1024
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, also within functions of elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of whole numbers, all before it merged (an associative function with neutral 0), as an array.
+
+    An appending fold copies what it has; so it runs over blocks, and then over the blocks' results.
+    """
+    zero = F.lit(0).cast("long")
+
+    def fold(part: Column, first: Column) -> Column:
+        start = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(merge(acc["at"], x).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def over(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: merge(acc, x).cast("long")))
+        return F.flatten(F.zip_with(blocks, fold(whole, zero), fold))
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / BLOCK))), lambda i: F.slice(v, (i * BLOCK + 1).cast("int"), BLOCK))
+
+    return let(let(values, cut), over)
+
+
+def with_pieces(c: Column, use: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """``use`` with a function for the text from one offset to another, whose cost does not grow with the offset."""
+    def over(blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first, last = F.floor(start / CUT).cast("int"), F.floor(end / CUT).cast("int")
+            head = F.substr(F.coalesce(F.get(blocks, first), F.lit("")), (start - first * CUT + 1).cast("int"), (F.least(end, (first + 1) * CUT) - start).cast("int"))
+            middle = F.array_join(F.slice(blocks, first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+            return F.concat(head, middle, F.when(last > first, F.substr(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), (end - last * CUT).cast("int"))).otherwise(""))
+
+        return use(piece)
+
+    return let(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), over)
+
+
+def placed(found: Column, between: Column, one: Callable[[Column, Column, Column], Column]) -> Column:
+    """``one(start, text before, match)`` for all matches of a text that is cut at them into the pieces ``between``."""
+    def over(pairs: Column) -> Column:
+        at = running(F.transform(pairs, lambda p: F.length(p["b"]) + F.length(p["m"])), lambda a, b: a + b)
+        return F.zip_with(pairs, at, lambda p, before: one((before + F.length(p["b"])).cast("int"), p["b"], p["m"]))
+
+    return let(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), over)
+
+
 def spans(c: Column, pattern: str) -> Column:
     """All matches as an array of (start, end, text): 0-based offsets, ends exclusive."""
-    kind = "array<struct<start:int,end:int,text:string>>"
     found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("text")))).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    return placed(found, between, lambda start, _, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text")))

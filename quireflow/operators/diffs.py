@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,38 +22,31 @@ def is_marker(token: Column) -> Column:
     return token.rlike(r"^[(\[{]") | token.rlike(r"^[)\]}]$")
 
 
-def _chunks(original: str, cited: str) -> list[dict[str, str]]:
-    """Tokens of the cited text, each kept or inserted: a token is kept when it is the next of the original.
-
-    After a mismatch, tokens count as inserted until one is among the next AHEAD of the original (markers never are). If
-    that is the very first, the original's token was dropped from the cited text and is kept as it stands.
-    """
-    old, new = (original or "").split(), (cited or "").split()
-    out: list[dict[str, str]] = []
-
-    def put(kind: str, tokens: list[str]) -> None:
-        if not tokens:
-            return
-        text = " ".join(tokens) + " "
-        if out and out[-1]["type"] == kind:
-            out[-1]["text"] += text
+def _aligned(old: list[str], new: list[str]) -> Iterator[tuple[str, str]]:
+    """Tokens with their type. Each token of the new text looks for its place among the next AHEAD of the old one, and what
+    the old text has up to there is kept; without a place it is inserted. A marker's place is the very next one, and only
+    if no inserted token stands before it."""
+    places: dict[str, list[int]] = {}
+    for at, token in enumerate(old):
+        places.setdefault(token, []).append(at)
+    behind, after_inserted = 0, False
+    for token in new:
+        own = places.get(token, [])
+        at = bisect_left(own, behind)
+        reach = (0 if after_inserted else 1) if re.match(r"[(\[{]|[)\]}]$", token) else AHEAD
+        after_inserted = at == len(own) or own[at] >= behind + reach
+        if not after_inserted:
+            yield from (("norm", t) for t in old[behind : own[at] + 1])
+            behind = own[at] + 1
         else:
-            out.append({"type": kind, "text": text})
-
-    i = j = 0
-    while i < len(old) or j < len(new):
-        run = i
-        while i < len(old) and j < len(new) and old[i] == new[j]:
-            i, j = i + 1, j + 1
-        put("norm", old[run:i])
-        near, start = set(old[i : i + AHEAD]), j
-        while j < len(new) and (new[j] not in near or re.match(r"[(\[{]|[)\]}]$", new[j])):
-            j += 1
-        put("inserted", new[start:j])
-        if j == start and i < len(old):
-            put("norm", [old[i]])
-            i += 1
-    return out
+            yield "inserted", token
+    yield from (("norm", t) for t in old[behind:])
+
+
+def _chunks(original: str, cited: str) -> list[dict[str, str]]:
+    """Runs of tokens of one type."""
+    typed = _aligned((original or "").split(), (cited or "").split())
+    return [{"type": kind, "text": "".join(f"{t} " for _, t in run)} for kind, run in groupby(typed, key=itemgetter(0))]
 
 
 def word_diff(original: Column, cited: Column) -> Column:
