@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import placed, running, with_pieces
 from .common import checkpoint
 
 
@@ -107,8 +108,8 @@ def candidates(docs: DataFrame, text_col: str, own: Column) -> DataFrame:
 
 def _spans(place: int, kind: Kind) -> Column:
     """The text is cut at the matches; the lengths of the pieces and matches add up to the offsets."""
-    def one(at: Column, b: Column, m: Column) -> Column:
-        valid, start = F.coalesce(kind.valid(m), F.lit(False)), at + F.length(b)
+    def one(start: Column, b: Column, m: Column) -> Column:
+        valid = F.coalesce(kind.valid(m), F.lit(False))
         features = F.concat(
             F.when(valid, "+").otherwise("-"), F.when(m.rlike(kind.gazetteer), "+").otherwise("0"),
             F.when(F.right(b, F.lit(40)).rlike(kind.context), "+").otherwise("0"), F.when(F.right(b, F.lit(1)).rlike("[A-Za-z0-9]"), "-").otherwise("0"),
@@ -116,14 +117,7 @@ def _spans(place: int, kind: Kind) -> Column:
         )
         return F.struct(start.cast("int").alias("start"), F.lit(place).alias("place"), (start + F.length(m)).cast("int").alias("end"), F.lit(kind.name).alias("kind"), valid.alias("valid"), features.alias("features"))
 
-    def step(acc: Column, x: Column) -> Column:
-        b, m = x["b"], x["m"]
-        return F.struct((acc["at"] + F.length(b) + F.length(m)).cast("int").alias("at"), F.concat(acc["out"], F.array(one(acc["at"], b, m))).alias("out"))
-
-    empty = F.array().cast(f"array<{SPAN}>")
-    pairs = F.transform(F.arrays_zip(F.slice(f"b{place}", 1, F.size(f"m{place}")), f"m{place}"), lambda x: F.struct(x.getField("0").alias("b"), x.getField(f"m{place}").alias("m")))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(f"m{place}") > 0, folded).otherwise(empty)
+    return F.when(F.size(f"m{place}") > 0, placed(F.col(f"m{place}"), F.col(f"b{place}"), one)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 # -- weighing the votes --------------------------------------------------------------------------------------------------
@@ -225,14 +219,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     own = F.struct(*[F.col(c) for c in docs.columns])
     found = candidates(docs, text_col, own)
-    weights = fit(found)
+    weights = fit(found)  # counts of all candidates; finding them again costs less than carrying texts and spans to a join
+    kept = found.select("own", "text", accepted(F.col("spans"), weights).alias("taken"))
+    kept = kept.withColumn("covered", running(F.transform("taken", lambda s: s["end"]), F.greatest))  # end of all spans before
+
+    def redacted(piece) -> Column:
+        def put(s: Column, covered: Column) -> Column:
+            return F.when(s["start"] >= covered, F.concat(piece(covered, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+        end = F.array_max(F.transform("taken", lambda s: s["end"]))
+        return F.concat(F.array_join(F.zip_with("taken", "covered", put), ""), piece(end, F.length("text")))
 
-    done = F.aggregate("taken", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    kept = found.select("own", "text", accepted(F.col("spans"), weights).alias("taken")).select("own", "text", "taken", F.when(F.size("taken") > 0, done).alias("done"))
-    text = F.when(F.size("taken") == 0, F.col(f"own.{text_col}")).otherwise(F.concat(F.array_join("done.out", ""), F.substr(F.col("text"), F.col("done.at") + 1, F.length("text"))))
+    text = F.when(F.size("taken") == 0, F.col(f"own.{text_col}")).otherwise(with_pieces(F.col("text"), redacted))
     return kept.select(*[text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ are exclusive. Repeated rows each get their own row. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
@@ -90,19 +90,22 @@ class Scanner:
         dead = {s for s, r in enumerate(rows) if not a.accepts[s] and set(r) == {s}}
         return rows, [bool(x) for x in a.accepts], a.start, dead
 
-    def ends(self, data: bytes) -> list[tuple[int, int]]:
+    def ends(self, data: bytes) -> Iterator[tuple[int, int]]:
         """One pass: (end, rules) wherever some rule's match can end."""
-        rows, state, quiet, out = self.rows, self.start, self.quiet, []
-        for i, byte in enumerate(data):
+        rows, state, quiet, accepts = self.rows, self.start, self.quiet, self.accepts
+        for i, byte in enumerate(data, 1):
             state = rows[state][byte]
             if state >= quiet:
-                out.append((i + 1, self.accepts[state]))
-        return out
+                yield i, accepts[state]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of every match that passes its rule's test, by start and rule, in bytes."""
         out, behind = [], [0] * len(self.rules)
+        done = 0  # rules whose last match reaches beyond the pass, as bits
+        quiet_until = 0
         for end, which in self.ends(data):
+            if end <= quiet_until and not which & ~done:
+                continue
             for k, rule in enumerate(self.rules):
                 if which >> k & 1 and end > behind[k]:
                     begin = self.walk(self.backward[k], data, range(end - 1, behind[k] - 1, -1), end, 0)
@@ -111,6 +114,9 @@ class Scanner:
                     behind[k] = stop = self.walk(self.forward[k], data, range(begin, len(data)), begin, 1)
                     if rule.test is None or rule.test(data[begin:stop]):
                         out.append((begin, stop, k))
+            done, quiet_until = 0, min((b for b in behind if b > end), default=0)
+            for k, b in enumerate(behind):
+                done |= (b > end) << k
         return sorted(out, key=lambda s: (s[0], s[2]))
 
     @staticmethod

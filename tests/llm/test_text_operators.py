@@ -142,6 +142,19 @@ def test_secrets_of_many_texts():
         assert [s for s in secrets.find(text, scan) if s[0] in SECRETS] == secrets_brute(text), text
 
 
+def test_secrets_in_long_runs_take_no_memory_of_their_own():
+    import tracemalloc
+
+    text = "ab" * 500_000 + " password: " + "0f" * 500_000 + " AKIA" + "Z" * 200_000
+    scan = secrets.scanner()
+    tracemalloc.start()
+    found = secrets.find(text, scan)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(k, s) for k, s, _ in found] == [("hex", 0), ("assign", 1_000_001), ("hex", 1_000_011), ("access", 2_000_012)]
+    assert peak < 4 * len(text)
+
+
 def test_secrets_added_kinds():
     assert secrets.find("x -----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36, secrets.scanner())[0] == ("private_key", 2, 33)
 
@@ -187,6 +200,23 @@ def test_personal_data_is_replaced(spark, awkward, empty):
     assert pii.find(empty).count() == pii.redact(empty).count() == 0
 
 
+def test_many_matches_and_overlapping_spans_in_one_text(spark):
+    """Offsets add up over blocks of matches and of text, and replacing them leaves everything else."""
+    rng = random.Random(8)
+    words = [rng.choice(["a.b@c.de", "10.0.0.1", "é😀", "+1 (853) 555-7168", "word", "4111 1111 1111 1111", "x"]) for _ in range(3000)]
+    texts = [" ".join(words), " ".join(words[:700]) + "y" * 5000, "+4111 1111 1111 1111@b.co, +4111 1111 1111 1111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for r in pii.redact(docs).collect():
+        text, at, out = texts[r["doc_id"]], 0, ""
+        for kind, s, e in (x.split(":") for x in spans[r["doc_id"]].split(",")):
+            if int(s) >= at:
+                out += text[at : int(s)] + f"[{kind.upper()}]"
+            at = max(at, int(e))
+        assert r["text"] == out + text[at:]
+        assert set(pii_brute(text).split(",")) <= set(spans[r["doc_id"]].split(","))
+
+
 def test_reliabilities_follow_the_votes():
     real = pii.estimate({("phone", "+++0"): 50, ("phone", "-00-"): 60, ("phone", "+00-"): 5})
     assert real["phone", "+++0"] > 0.9 and real["phone", "-00-"] < 0.1
