@@ -10,6 +10,9 @@ A pre-split word is encoded from left to right: behind each prefix stands the la
 path arrives there, the longest token that ends there and may follow the label behind its own beginning. A word's path is
 kept, so that a word seen before costs one look-up. Decoding emits the labels of the arcs.
 
+Case and classes of characters are those of this Python; texts with code points that its tables lack are split by the
+tokenizers library, whose tables may be newer.
+
 Defined results: a null or empty text, and one of white space alone, has no tokens and decodes to the empty text. Repeated
 rows each get their own row. Extra columns are ignored.
 """
@@ -21,6 +24,7 @@ import re
 import struct
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 from hashlib import sha256
 
 import regex
@@ -124,6 +128,8 @@ class Tokenizer:
 
     automaton: Automaton
     specials: dict[str, int]
+    #: The file without its vocabulary: how the tokenizers library normalises and splits.
+    splitting: str = ""
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -132,7 +138,8 @@ class Tokenizer:
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        return cls(Automaton.compile(model["vocab"], merges, model["end_of_word_suffix"]), specials)
+        bare = {**spec, "added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        return cls(Automaton.compile(model["vocab"], merges, model["end_of_word_suffix"]), specials, json.dumps(bare))
 
 
 #: White space that counts as a separator, as in the pattern class of white space by Unicode.
@@ -143,6 +150,15 @@ FAST = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|
 BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Code points that this Python's Unicode tables do not know; the library's may."""
+    gone = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    first = [c for i, c in enumerate(gone) if not i or gone[i - 1] != c - 1]
+    last = [c for i, c in enumerate(gone) if i + 1 == len(gone) or gone[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True)) + "]")
+
+
 def normalise(text: str) -> str:
     """NFC, runs of white space to one space, lower case of each code point by itself."""
     text = SPACE.sub(" ", unicodedata.normalize("NFC", text))
@@ -157,6 +173,8 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.specials = tokenizer.specials
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.splitting, self.library = tokenizer.splitting, None
+        self.stands_for = {c: b for b, c in self.alphabet.items()}
         outer = self
 
         class Paths(dict):
@@ -178,9 +196,20 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.auto.labels[i] for i in ids)
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
+        if not text.isascii() and unassigned().search(text):
+            return list(map(self.paths.__getitem__, self.words_by_library(text)))
         text = normalise(text)
         return list(map(self.paths.__getitem__, (WORD if BEYOND.search(text) else FAST).findall(text)))
 
+    def words_by_library(self, text: str) -> list[str]:
+        """Words of a text with code points newer than this Python, by the library's own tables."""
+        if self.library is None:
+            from tokenizers import Tokenizer as Library
+
+            self.library = Library.from_str(self.splitting)
+        normal = self.library.normalizer.normalize_str(text)
+        return [bytes(self.stands_for[c] for c in word).decode("utf-8") for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Packed ids of a text and the text that they decode to: the labels with a space between."""
         found = []

@@ -107,6 +107,15 @@ def test_tokens_of_many_texts(coders):
         agree(coders, "ab"[n % 2] * (n % 40))
 
 
+def test_tokens_of_all_code_points(coders):
+    """Between letters and alone, also those that are newer than this Python's tables."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 199):
+        agree(coders, "".join(f"a{chr(c)}B {chr(c)}" for c in points[at : at + 1]))
+    for c in (0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0x208F, 0xA7CB, 0x1E5D0, 0x378):
+        agree(coders, f"x{chr(c)}\u0301Y  {chr(c)}<|endoftext|>{chr(c)}{chr(c)} 's")
+
+
 def test_no_transition_joins_what_a_merge_would_join(coders):
     auto = coders[1].auto
     assert not any(auto.may_follow(u, v) for u, v in list(auto.taken)[:2000])
