@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, pii, secrets, simhash, suffixes, topk, toxicity
+from . import ann, bpe, langid, mixing, oracles, pii, secrets, simhash, suffixes, topk, toxicity
 from .common import crc_mod, read_table
 
 
@@ -65,5 +65,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_mixing, op5_simhash, op6_suffixes, op7_secrets, op8_topk, op9_language_id, op10_ann)}
-ORACLE_SQL: dict[str, str] = {}
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of personal data, of every document."""
+    return pii.find(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, source size and target of every document in the mix."""
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_pii, op3_bpe, op4_mixing, op5_simhash, op6_suffixes, op7_secrets, op8_topk, op9_language_id, op10_ann, personal_data_base, mixing_targets)
+}
+ORACLE_SQL: dict[str, str] = {"op6_suffixes": oracles.REPEATS, "op7_secrets": oracles.SECRETS, "op8_topk": oracles.TOP, "personal_data_base": oracles.PERSONAL_DATA, "mixing_targets": oracles.TARGETS}
