@@ -39,17 +39,21 @@ def shingles(array: Column, n: int = 5) -> Column:
 
 
 def content_words(array: Column, stopwords: Iterable[str], longer_than: int = 2) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted(stopwords)])
-    return F.filter(array, lambda w: ~F.array_contains(stop, w) & (F.length(w) > longer_than))
+    return F.filter(array, lambda w: ~w.isin(sorted(stopwords)) & (F.length(w) > longer_than))
 
 
 def rare_phrases(array: Column, stopwords: Iterable[str], n: int = 6, least: int = 2) -> Column:
-    """Distinct n-grams with at least ``least`` words that are no stopwords, sorted."""
-    stop = F.array(*[F.lit(w) for w in sorted(stopwords)])
-    starts = F.transform(F.sequence(F.lit(1), F.size(array) - (n - 1)), lambda i: F.slice(array, i, n))
-    kept = F.filter(starts, lambda g: F.size(F.filter(g, lambda w: ~F.array_contains(stop, w))) >= least)
-    phrases = F.array_sort(F.array_distinct(F.transform(kept, lambda g: F.array_join(g, " "))))
-    return F.when(F.size(array) >= n, phrases).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams with at least ``least`` words that are no stopwords, sorted. Every word is looked up once."""
+    none = F.array().cast("array<string>")
+
+    def of(words_: Column, stops: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(words_) - (n - 1)), lambda i: n - F.aggregate(F.slice(stops, i, n), F.lit(0), lambda a, x: a + x) >= least)
+        return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words_, i, n), " "))))
+
+    def flagged(words_: Column) -> Column:
+        return let(F.transform(words_, lambda w: w.isin(sorted(stopwords)).cast("int")), lambda stops: of(words_, stops))
+
+    return let(array, lambda words_: F.when(F.size(words_) >= n, flagged(words_)).otherwise(none))
 
 
 def excerpt(c: Column, limit: int) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import superscript
+from ..functions.text import let, superscript
 from .authors import normalised, surname
 
 STYLES = ("apa", "vancouver", "ieee", "nature", "mla", "chicago", "harvard", "ama")
@@ -47,6 +47,14 @@ def front(array: Column, sep: str) -> Column:
     return F.array_join(F.slice(array, 1, F.greatest(F.lit(0), F.size(array) - 1)), sep)
 
 
+def joined(array: Column) -> Column:
+    """Names with "and" before the last, and a comma."""
+    def of(all_: Column) -> Column:
+        return F.when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ",")).otherwise(F.concat(front(all_, ", "), F.lit(" and "), F.try_element_at(all_, F.lit(-1)), F.lit(",")))
+
+    return let(array, of)
+
+
 class Generation:
     """What the two generations have in common: names, labels and the registries of styles."""
 
@@ -158,10 +166,11 @@ class First(Generation):
         return F.when(bare_letters(n["initials"]) != "", F.concat(n["surname"], F.lit(" "), bare_letters(n["initials"]))).otherwise(n["surname"])
 
     def apa_entry(self) -> Column:
-        all_ = F.transform(self.names(), self.last_first)
-        long = F.concat(F.array_join(F.slice(all_, 1, 19), ", "), F.lit(", ... "), F.element_at(all_, -1), F.lit("."))
-        some = F.when(F.size(all_) > 20, long).when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ".")).otherwise(F.concat(front(all_, ", "), F.lit(", & "), F.try_element_at(all_, F.lit(-1)), F.lit(".")))
-        whole = spaced(several(F.col("authors"), some), F.concat(F.lit("("), year(), F.lit(").")), after(field("title"), "."), journal_block(), field("doi"))
+        def some(all_: Column) -> Column:
+            long = F.concat(F.array_join(F.slice(all_, 1, 19), ", "), F.lit(", ... "), F.element_at(all_, -1), F.lit("."))
+            return F.when(F.size(all_) > 20, long).when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ".")).otherwise(F.concat(front(all_, ", "), F.lit(", & "), F.try_element_at(all_, F.lit(-1)), F.lit(".")))
+
+        whole = spaced(several(F.col("authors"), let(F.transform(self.names(), self.last_first), some)), F.concat(F.lit("("), year(), F.lit(").")), after(field("title"), "."), journal_block(), field("doi"))
         return F.regexp_replace(whole, r"\.{2,}", ".")
 
     def six(self, end: str) -> Column:
@@ -172,8 +181,7 @@ class First(Generation):
         return spaced(number(end="."), self.six(", et al."), after(field("title"), "."), journal_block(), field("doi"))
 
     def ieee_entry(self) -> Column:
-        all_ = F.transform(self.names(), self.first_last)
-        some = F.when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ",")).otherwise(F.concat(front(all_, ", "), F.lit(" and "), F.try_element_at(all_, F.lit(-1)), F.lit(",")))
+        some = joined(F.transform(self.names(), self.first_last))
         return spaced(number("[", "]"), several(F.col("authors"), some), wrap('"', field("title"), ',"'), after(field("journal"), ","), volume_number(), wrap("pp. ", field("pages"), ","), after(field("year"), "."), self.ieee_doi())
 
     def ieee_doi(self) -> Column:
@@ -196,10 +204,12 @@ class First(Generation):
 
     def leading(self, most: int) -> Column:
         """First author reversed, the rest as written; beyond ``most``, et al."""
-        all_ = self.names()
-        head = self.last_first(F.get(all_, F.lit(0)))
-        rest = F.array_join(F.transform(F.slice(all_, 2, F.greatest(F.lit(1), F.size(all_))), self.first_last), ", and ")
-        return several(F.col("authors"), F.when(F.size(all_) == 1, after(head, ".")).when(F.size(all_) > most, after(head, ", et al.")).otherwise(F.concat(head, F.lit(", and "), rest, F.lit("."))))
+        def of(all_: Column) -> Column:
+            head = self.last_first(F.get(all_, F.lit(0)))
+            rest = F.array_join(F.transform(F.slice(all_, 2, F.greatest(F.lit(1), F.size(all_))), self.first_last), ", and ")
+            return F.when(F.size(all_) == 1, after(head, ".")).when(F.size(all_) > most, after(head, ", et al.")).otherwise(F.concat(head, F.lit(", and "), rest, F.lit(".")))
+
+        return several(F.col("authors"), let(self.names(), of))
 
     def mla_entry(self) -> Column:
         return spaced(self.leading(3), wrap('"', field("title"), '."'), wrap("*", field("journal"), "*,"), volume_number(), after(field("year"), ","), wrap("pp. ", field("pages"), "."), field("doi"))
@@ -244,12 +254,13 @@ class Second(First):
             dots = F.regexp_replace(F.regexp_replace(F.replace(n["initials"], F.lit(" "), F.lit(". ")), r"([A-Z])(?!\.)", "$1."), r"\.{2,}", ".")
             return F.when(n["initials"] != "", F.concat(n["surname"], F.lit(", "), dots)).otherwise(n["surname"])
 
-        all_ = F.transform(self.names(), one)
-        last = F.try_element_at(all_, F.lit(-1))
-        ended = F.when(F.endswith(last, F.lit(".")), last).otherwise(after(last, "."))
-        long = F.concat(F.array_join(F.slice(all_, 1, 19), ", "), F.lit(", ... "), last, F.lit("."))
-        some = F.when(F.size(all_) > 20, long).when(F.size(all_) == 1, ended).otherwise(F.concat(front(all_, ", "), F.lit(", & "), ended))
-        whole = spaced(several(F.col("authors"), some), F.concat(F.lit("("), year(), F.lit(").")), after(field("title"), "."), journal_block(), linked_doi())
+        def some(all_: Column) -> Column:
+            last = F.try_element_at(all_, F.lit(-1))
+            ended = F.when(F.endswith(last, F.lit(".")), last).otherwise(after(last, "."))
+            long = F.concat(F.array_join(F.slice(all_, 1, 19), ", "), F.lit(", ... "), last, F.lit("."))
+            return F.when(F.size(all_) > 20, long).when(F.size(all_) == 1, ended).otherwise(F.concat(front(all_, ", "), F.lit(", & "), ended))
+
+        whole = spaced(several(F.col("authors"), let(F.transform(self.names(), one), some)), F.concat(F.lit("("), year(), F.lit(").")), after(field("title"), "."), journal_block(), linked_doi())
         return F.regexp_replace(whole, r"\.{2,}", ".")
 
     def vancouver_entry(self) -> Column:
@@ -263,8 +274,7 @@ class Second(First):
         return F.when(n["initials"] != "", F.concat(letters, F.lit(" "), n["surname"])).otherwise(n["surname"])
 
     def ieee_entry(self) -> Column:
-        all_ = F.transform(self.names(), self.first_last_dotted)
-        some = F.when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ",")).otherwise(F.concat(front(all_, ", "), F.lit(" and "), F.try_element_at(all_, F.lit(-1)), F.lit(",")))
+        some = joined(F.transform(self.names(), self.first_last_dotted))
         return spaced(number("[", "]"), several(F.col("authors"), some), wrap('"', field("title"), ',"'), after(field("journal"), ","), volume_number(), wrap("pp. ", field("pages"), ","), after(field("year"), "."), after(labelled_doi(), "."))
 
     def nature_doi(self) -> Column:
@@ -272,8 +282,7 @@ class Second(First):
         return F.when(F.startswith(doi, F.lit("http")), doi).otherwise(F.concat(F.lit(DOI_HOST), doi))
 
     def harvard_entry(self) -> Column:
-        all_ = F.transform(self.names(), lambda n: n["surname"])
-        some = F.when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ",")).otherwise(F.concat(front(all_, ", "), F.lit(" and "), F.try_element_at(all_, F.lit(-1)), F.lit(",")))
+        some = joined(F.transform(self.names(), lambda n: n["surname"]))
         block = F.concat(field("journal"), missing(wrap(", ", volume_issue())), missing(wrap(", pp. ", field("pages"))), F.lit("."))
         return spaced(several(F.col("authors"), some), F.concat(F.lit("("), year(), F.lit(").")), wrap("'", field("title"), "',"), block, wrap("Available at: ", linked_doi()))
 
@@ -283,20 +292,23 @@ class Second(First):
 
     def listed(self) -> Column:
         """The first author reversed, the others as written."""
-        all_ = self.names()
-        head = F.transform(F.slice(all_, 1, 1), self.last_first)
-        return F.concat(head, F.transform(F.slice(all_, 2, F.greatest(F.lit(1), F.size(all_))), self.first_last))
+        def of(all_: Column) -> Column:
+            return F.concat(F.transform(F.slice(all_, 1, 1), self.last_first), F.transform(F.slice(all_, 2, F.greatest(F.lit(1), F.size(all_))), self.first_last))
+
+        return let(self.names(), of)
 
     def mla_entry(self) -> Column:
-        all_ = self.listed()
-        some = F.when(F.size(all_) > 3, after(F.get(all_, F.lit(0)), ", et al.")).otherwise(after(F.array_join(all_, ", and "), "."))
+        some = let(self.listed(), lambda all_: F.when(F.size(all_) > 3, after(F.get(all_, F.lit(0)), ", et al.")).otherwise(after(F.array_join(all_, ", and "), ".")))
         volume = F.concat(F.lit(" vol. "), field("volume"), F.lit(","), missing(wrap(" no. ", field("issue"), ",")))
         block = F.concat(field("journal"), F.lit(","), missing(volume), missing(wrap(" ", field("year"), ",")), missing(wrap(" pp. ", field("pages"), ".")))
         return spaced(several(F.col("authors"), some), wrap('"', field("title"), '."'), block, linked_doi())
 
     def chicago_entry(self) -> Column:
-        all_ = self.listed()
-        some = F.when(F.size(all_) > 10, after(F.get(all_, F.lit(0)), ", et al.")).when(F.size(all_) == 1, after(F.get(all_, F.lit(0)), ".")).otherwise(F.concat(front(all_, ", "), F.lit(", and "), F.try_element_at(all_, F.lit(-1)), F.lit(".")))
+        def shown(all_: Column) -> Column:
+            first = F.get(all_, F.lit(0))
+            return F.when(F.size(all_) > 10, after(first, ", et al.")).when(F.size(all_) == 1, after(first, ".")).otherwise(F.concat(front(all_, ", "), F.lit(", and "), F.try_element_at(all_, F.lit(-1)), F.lit(".")))
+
+        some = let(self.listed(), shown)
         block = F.concat(field("journal"), missing(F.concat(F.lit(" "), field("volume"), missing(wrap(", no. ", field("issue"))))), missing(wrap(" (", field("year"), ")")), missing(wrap(": ", field("pages"))), F.lit("."))
         return spaced(several(F.col("authors"), some), after(year(), "."), wrap('"', field("title"), '."'), block, F.concat(F.lit(DOI_HOST), linked_doi(), F.lit(".")))
 
