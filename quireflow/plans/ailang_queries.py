@@ -24,12 +24,7 @@ def _sentence_signals(spark, sf_dir, d):
 
 
 def ai_sentence_signals(spark, sf_dir):
-    """SF-15 to SF-17, A-18, PF-15, TG-9: signals of single sentences, of English documents and of composed ones."""
-    return _sentence_signals(spark, sf_dir, table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-def ai_sentence_signals_all(spark, sf_dir):
-    """The same of documents in any language, which the SQL of ``ai_sentence_signals`` leaves out. Held against brute force."""
+    """SF-15 to SF-17, A-18, PF-15, TG-9: signals of single sentences, of documents and of composed ones."""
     return _sentence_signals(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 
@@ -46,8 +41,8 @@ def ai_language_paragraphs(spark, sf_dir):
 
 
 def ai_language_locations(spark, sf_dir):
-    """K-3, K-8, PF-16, W-11: over assistant turns of the conversations."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    """K-3, K-8, PF-16, W-11: over all turns of the conversations."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
     return ailang.locations(ailang.analysed(c)).select("doc_id", "place", "line", "percent", "tier", F.array_join("reasons", "; ").alias("reasons"), "recommendation")
 
 
@@ -61,15 +56,15 @@ def _q(p: str) -> str:
 
 PHRASES = " + ".join(f"case when regexp_matches(low, {_q(p)}) then {w}::double else 0 end" for p, w, _ in V.STYLE_PHRASES)
 SPLIT = "string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
-QUERIES = {f.__name__: f for f in (ai_sentence_signals, ai_sentence_signals_all, ai_language_documents, ai_language_paragraphs, ai_language_locations)}
+QUERIES = {f.__name__: f for f in (ai_sentence_signals, ai_language_documents, ai_language_paragraphs, ai_language_locations)}
 ORACLE_SQL = {
-    "ai_sentence_signals": f"""with d as (select doc_id, list_filter(list_transform({SPLIT}, lambda x: trim(x)), lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')) >= 12) as ss from documents where lang = 'en'
+    "ai_sentence_signals": f"""with d as (select doc_id, list_filter(list_transform({SPLIT}, lambda x: trim(x)), lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')) >= 12) as ss from documents
   union all select -p_partkey, [{', '.join(_q(c) + " || ' ' || p_name" for c in CASES)}] from part),
  s as (select doc_id, unnest(ss) as text, unnest(range(len(ss))) as pos from d),
  w as (select *, lower(text) as low, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*'), lambda x: lower(x)) as w from s),
  f as (select *, len(w) as n, len(list_filter(w, lambda x: list_contains({_in(V.STYLE_COMMON)}, x))) as common, len(list_distinct(w)) / len(w) as div, list_sum(list_transform(w, lambda x: length(x))) / len(w) as avglen,
   len(list_filter(w, lambda x: list_contains({_in(V.STYLE_GENERIC)}, x))) as gen, len(list_filter(w, lambda x: list_contains({_in(V.STYLE_HEDGES)}, x))) as hed,
-  len(list_filter(w, lambda x: not list_contains({_in(V.STYLE_STOPWORDS)}, x) and length(x) > 2)) as cont, len(regexp_extract_all(text, {_q(V.STYLE_SPECIFIC)})) as spec, len(regexp_extract_all(text, '\\b[A-Z][a-z]{{3,}}\\b')) as cap from w where len(w) >= 5)
+  len(list_filter(w, lambda x: not list_contains({_in(V.STYLE_STOPWORDS)}, x) and length(x) > 2)) as cont, len(regexp_extract_all(text, {_q(V.STYLE_SPECIFIC)})) as spec, len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{3,}}'))) as cap from w where len(w) >= 5)
  select doc_id, pos::int as pos, n::int as n, round({PHRASES} + case when list_contains({_in(V.STYLE_TRANSITIONS)}, w[1]) or w[1] || ' ' || w[2] in ('in addition', 'as a') then 0.08 else 0 end, 6)::double as phrase,
   round(greatest(0, least(1, common / n * 0.65 + (1 - div) * 0.25 + case when avglen < 5.2 then 0.1 else 0 end)), 6)::double as predictability,
   round(greatest(0, least(1, gen / n * 3.4 + case when hed >= 2 then 0.12 else 0 end)), 6)::double as genericity,

@@ -13,21 +13,11 @@ from .manuscripts import REFERENCES_SQL, references
 
 def page_texts(spark, sf_dir):
     """IO-16."""
-    return table(spark, sf_dir, "pages").where(F.octet_length("html") <= 15000).select("page_id", webcheck.page_text(F.col("html")).alias("text"))
-
-
-def page_texts_all(spark, sf_dir):
-    """IO-16, longer pages too: the SQL of ``page_texts`` leaves them out. Held against brute force."""
     return table(spark, sf_dir, "pages").select("page_id", webcheck.page_text(F.col("html")).alias("text"))
 
 
 def web_phrases(spark, sf_dir):
     """TG-5, A-20, W-10, K-7, PF-18."""
-    return webcheck.queries(table(spark, sf_dir, "documents").where("lang = 'en'")).select("doc_id", "phrase")
-
-
-def web_phrases_all(spark, sf_dir):
-    """TG-5, A-20, W-10, K-7, PF-18, in any language: the SQL of ``web_phrases`` takes English only. Held against brute force."""
     return webcheck.queries(table(spark, sf_dir, "documents")).select("doc_id", "phrase")
 
 
@@ -49,7 +39,7 @@ def _catalog(spark, sf_dir):
 
 def crossref_records(spark, sf_dir):
     """SF-8, IO-12."""
-    wanted = references(spark, sf_dir).where("doi like 'http%'").select("doc_id", F.col("index").alias("idx"), "doi")
+    wanted = references(spark, sf_dir).select("doc_id", F.col("index").alias("idx"), "doi")
     return metadata.fetched(wanted, _catalog(spark, sf_dir)).select("doc_id", "idx", F.array_join("record.authors", ";").alias("authors"), "record.year", "record.title", "record.journal", "record.raw")
 
 
@@ -87,10 +77,10 @@ def diff_words(spark, sf_dir):
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in OVERLAP_STOPWORDS) + "]"
-QUERIES = {f.__name__: f for f in (page_texts, page_texts_all, web_phrases, web_phrases_all, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
+QUERIES = {f.__name__: f for f in (page_texts, web_phrases, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
 ORACLE_SQL = {
-    "page_texts": "select page_id, substr(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\\s+', ' ', 'g'), 1, 3000) as text from pages where strlen(html) <= 15000",
-    "web_phrases": f"""with s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), 1) as pos from documents where lang = 'en'),
+    "page_texts": "select page_id, substr(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\\s+', ' ', 'g'), 1, 3000) as text from (select page_id, case when strlen(html) <= 15000 then html else left(html, n) || case when strlen(left(html, n)) < 15000 then chr(65533) else '' end end as h from (select *, case when strlen(html) > 15000 then list_max(list_filter(range(3750, 15001), lambda i: strlen(left(html, i)) <= 15000)) end as n from pages))",
+    "web_phrases": f"""with s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), 1) as pos from documents),
  w as (select doc_id, pos, list_filter(string_split(trim(s), ' '), lambda x: x <> '') as w from s),
  c as (select *, list_transform(w, lambda x: case when not list_contains({STOP}, trim(lower(x), '.,;:')) and length(x) > 3 then 1 else 0 end) as f from w where len(w) >= 12),
  g as (select doc_id, pos, w, i, list_sum(f[i:i + 8]) as score from (select *, unnest(range(1, len(w) - 7)) as i from c)),
@@ -98,7 +88,7 @@ ORACLE_SQL = {
  u as (select * from b qualify row_number() over (partition by doc_id, phrase order by pos) = 1)
  select doc_id, phrase from u qualify row_number() over (partition by doc_id order by pos) <= 20""",
     "doi_cleaned": f"with {REFERENCES_SQL} select doc_id, idx::int as idx, replace(doi, 'https://doi.org/', '') as doi, md5('raw ' || p) as cache_key from refs",
-    "crossref_records": f"with {REFERENCES_SQL} select doc_id, idx::int as idx, p_type || ', A' as authors, (1990 + p % 30)::varchar as year, p_name as title, p_brand as journal, p_type || ', A (' || (1990 + p % 30) || ') ' || p_name || '. ' || p_brand || ' ' || p_size || ' https://doi.org/10.1000/' || p as raw from refs join part on p = p_partkey where doi like 'http%'",
+    "crossref_records": f"with {REFERENCES_SQL} select doc_id, idx::int as idx, p_type || ', A' as authors, case when p_name is not null then (1990 + p % 30)::varchar end as year, p_name as title, p_brand as journal, p_type || ', A (' || (1990 + p % 30) || ') ' || p_name || '. ' || p_brand || ' ' || p_size || ' https://doi.org/10.1000/' || p as raw from refs left join part on p = p_partkey and doi like 'http%'",
     "bibtex_records": "select p_partkey, p_type || ';B, C' as authors, (1990 + p_partkey % 30)::varchar as year, p_name as title, '1-' || p_size as pages, 'https://doi.org/10.1/' || p_partkey as doi, p_type || ' (' || (1990 + p_partkey % 30) || '). ' || p_name || '.' as raw from part",
     "references_deduplicated": f"with {REFERENCES_SQL} select jr as journal, count(distinct concat_ws('|', coalesce(trim(lower(string_split(authors[1], ',')[1])), ''), coalesce(yr, ''), substr(lower(coalesce(title, '')), 1, 40), coalesce(doi, ''))) as n from refs group by 1",
     "diff_lines": "select doc_id, i::int as line, string_split(text, chr(10))[i] as original, regexp_replace(string_split(text, chr(10))[i], '^The ', 'The [1] ') as cited from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents) where starts_with(string_split(text, chr(10))[i], 'The ') qualify row_number() over (partition by doc_id order by i) <= 30",

@@ -75,7 +75,7 @@ def page_text_brute(html):
 def test_page_texts_of_long_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{LARGER}/pages.parquet").collect()}
     assert any(len(h.encode()) > 15000 for h in pages.values())
-    assert {r["page_id"]: r["text"] for r in rows(spark, "page_texts_all", LARGER)} == {k: page_text_brute(h) for k, h in pages.items()}
+    assert {r["page_id"]: r["text"] for r in rows(spark, "page_texts", LARGER)} == {k: page_text_brute(h) for k, h in pages.items()}
 
 
 def test_page_text_at_a_cut_character(spark):
@@ -91,11 +91,11 @@ def test_confidence_of_all_kinds_of_markers(spark, refs):
         for i, s, y in items:
             hits = 1 if d % 3 == 0 else named[s, y] if d % 3 == 1 else 0
             want[d, i] = 95 if hits >= 3 else (0, 75, 85)[hits]
-    got = rows(spark, "reference_confidence_all")
+    got = rows(spark, "reference_confidence")
     assert {(r["doc_id"], r["idx"]): r["confidence"] for r in got} == want and any(v and d % 3 == 1 for (d, _), v in want.items())
     assert all((r["status"], r["tier"]) == {0: ("✗ not found", "none"), 75: ("✓ cited", "medium")}.get(r["confidence"], ("✓ cited", "high")) for r in got)
     means = {d: [want[d, i] for i, _, _ in items] for d, items in refs.items()}
-    for r in rows(spark, "confidence_summaries_all"):
+    for r in rows(spark, "confidence_summaries"):
         of = means.pop(r["doc_id"])
         assert (r["total"], r["cited"]) == (len(of), sum(v > 0 for v in of)) and abs(r["avg_confidence"] - sum(of) / len(of)) <= 0.0501
     assert not means
@@ -104,7 +104,7 @@ def test_confidence_of_all_kinds_of_markers(spark, refs):
 def test_web_phrases_in_any_language(spark, documents):
     want = {d: list(dict.fromkeys(map(phrase_brute, sentences_brute(text))))[:20] for d, text in documents.items()}
     got = defaultdict(list)
-    for r in rows(spark, "web_phrases_all"):
+    for r in rows(spark, "web_phrases"):
         got[r["doc_id"]].append(r["phrase"])
     assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items() if x}
 
@@ -114,7 +114,7 @@ def test_sentence_signals_in_any_language(spark, documents):
     for r in spark.read.parquet(f"{SF}/part.parquet").collect():
         want |= {(-r["p_partkey"], i): signals_brute(f"{c} {r['p_name']}") for i, c in enumerate(CASES)}
     want = {k: v for k, v in want.items() if v}
-    got = {(r["doc_id"], r["pos"]): (r["n"], r["phrase"], r["predictability"], r["genericity"], r["low_specificity"]) for r in rows(spark, "ai_sentence_signals_all")}
+    got = {(r["doc_id"], r["pos"]): (r["n"], r["phrase"], r["predictability"], r["genericity"], r["low_specificity"]) for r in rows(spark, "ai_sentence_signals")}
     assert got.keys() == want.keys()
     bad = [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=2e-6)]
     assert not bad, bad[:3]
@@ -123,9 +123,9 @@ def test_sentence_signals_in_any_language(spark, documents):
 def test_markers_of_every_body(spark, refs):
     body = {r["doc_id"]: r["text"] for r in bodies(spark, SF).collect()}
     numbers = {d: ",".join(str(i) for i, _, _ in items) if d % 3 == 0 else "" for d, items in refs.items()}
-    assert {r["doc_id"]: r["numbers"] for r in rows(spark, "cited_numbers_all")} == numbers and body.keys() == refs.keys()
+    assert {r["doc_id"]: r["numbers"] for r in rows(spark, "cited_numbers")} == numbers and body.keys() == refs.keys()
     for name, kind in (("numbered_reformatted", 0), ("named_reformatted", 1)):
-        got = {r["doc_id"]: r["cited"] for r in rows(spark, f"{name}_all")}
+        got = {r["doc_id"]: r["cited"] for r in rows(spark, name)}
         changed = {r["doc_id"]: r["cited"] for r in rows(spark, name)}
         assert got == {d: changed[d] if d % 3 == kind else text for d, text in body.items()}
         assert sum(got[d] != body[d] for d in body) > len(body) / 4
