@@ -77,6 +77,11 @@ def percent(c: Column) -> Column:
     return F.rint(c * 100).cast("int")
 
 
+def decimals(c: Column, places: int) -> Column:
+    """A number with so many decimal places, its exact value rounded half to even."""
+    return F.replace(F.format_number(c, places), F.lit(","), F.lit(""))
+
+
 def superscript(c: Column) -> Column:
     return F.translate(c, "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 

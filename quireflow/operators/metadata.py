@@ -109,6 +109,8 @@ def json_in(c: Column) -> Column:
     clean = strip(F.regexp_replace(F.regexp_replace(c, r"```(?:json)?\s*", ""), "```", ""))
 
     def valid(x: Column) -> Column:
-        return F.when(F.try_parse_json(x).isNotNull(), x)
+        """The parser stops behind the first value; as the one element of a list, it must be all there is."""
+        only = F.concat(F.lit("["), x, F.lit("]"))
+        return F.when((F.trim(x) != "") & F.try_variant_get(F.try_parse_json(only), "$[0]", "variant").isNotNull() & F.try_variant_get(F.try_parse_json(only), "$[1]", "variant").isNull(), x)
 
     return F.coalesce(valid(clean), valid(some(F.regexp_extract(clean, r"(?s)\{.*\}", 0))), valid(some(F.regexp_extract(clean, r"(?s)\[.*\]", 0))))

@@ -94,7 +94,7 @@ def by_source(found: DataFrame) -> DataFrame:
 def match_lines(found: DataFrame) -> Column:
     """The report text of a match."""
     phrases = F.when(F.size("phrases") > 0, F.concat(F.lit("\n    Shared phrases: "), F.array_join(F.transform(F.slice("phrases", 1, 3), lambda p: F.concat(F.lit('"'), p, F.lit('"'))), "; "))).otherwise("")
-    return F.concat(F.format_string("  [%s] Jaccard=%.2f Cosine=%.2f\n    Doc  : \"%s\"\n    Source (%s): \"%s\"", "risk", "jaccard", "cosine", T.preview(F.col("chunk_text")), F.col("source").cast("string"), T.preview(F.col("source_text"))), phrases)
+    return F.concat(F.format_string("  [%s] Jaccard=%s Cosine=%s\n    Doc  : \"%s\"\n    Source (%s): \"%s\"", "risk", T.decimals(F.col("jaccard"), 2), T.decimals(F.col("cosine"), 2), T.preview(F.col("chunk_text")), F.col("source").cast("string"), T.preview(F.col("source_text"))), phrases)
 
 
 #: What the report says about each label.
@@ -116,7 +116,7 @@ def reports(totals: DataFrame, found: DataFrame, doc_id="doc_id") -> DataFrame:
     block = F.concat(F.format_string('\n  Source: "%s"\n  %d HIGH · %d MEDIUM · %d LOW risk matches\n\n', F.col("source").cast("string"), "HIGH", "MEDIUM", "LOW"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), "\n"))
     blocks = lines.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("first", block.alias("block"), F.col("source").cast("string").alias("source")))).alias("blocks"))
     out = totals.join(blocks, doc_id, "left")
-    head = F.format_string(f"\n{rule}\n  PLAGIARISM CHECK REPORT\n  Document : %s\n{rule}\n  Overall similarity  : %.1f%%\n  Risk level          : %s\n  Document word count : %,d\n  Flagged word count  : %,d\n  Local matches found : %d", F.col(doc_id).cast("string"), "similarity", "label", "words", "flagged", "n_matches")
+    head = F.format_string(f"\n{rule}\n  PLAGIARISM CHECK REPORT\n  Document : %s\n{rule}\n  Overall similarity  : %s%%\n  Risk level          : %s\n  Document word count : %,d\n  Flagged word count  : %,d\n  Local matches found : %d", F.col(doc_id).cast("string"), T.decimals(F.col("similarity"), 1), "label", "words", "flagged", "n_matches")
     hit = F.when(F.size("blocks") > 0, F.concat(F.lit("\n  Sources matched     : "), F.array_join(F.transform("blocks", lambda b: b["source"]), ", "))).otherwise("")
     advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])[F.col("label")]
     body = F.when(F.size("blocks") > 0, F.array_join(F.transform("blocks", lambda b: b["block"]), "\n")).otherwise("  No matches found.")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("overlap_queries", "style_queries", "history_queries", "web_queries", "scoring_queries", "reference_queries", "ailang_queries", "marker_queries", "report_queries")
+MODULES = ("overlap_queries", "style_queries", "history_queries", "web_queries", "scoring_queries", "reference_queries", "ailang_queries", "marker_queries", "report_queries", "file_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

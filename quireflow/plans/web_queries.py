@@ -9,6 +9,7 @@ from ..operators import diffs, metadata, webcheck
 from ..operators.styles import FIRST
 from ..sources.tables import table
 from .manuscripts import REFERENCES_SQL, references
+from .style_queries import MARKERS
 
 
 def page_texts(spark, sf_dir):
@@ -73,12 +74,14 @@ def diff_words(spark, sf_dir):
     """SF-27, W-9: words that a marker was put behind."""
     d = table(spark, sf_dir, "documents")
     chunks = diffs.word_diff(F.col("text"), F.regexp_replace("text", r"\. ", ". [1] "))
-    return d.select("doc_id", F.inline(chunks)).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return d.select("doc_id", F.posexplode(chunks).alias("pos", "c")).select("doc_id", "pos", "c.*")
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in OVERLAP_STOPWORDS) + "]"
 QUERIES = {f.__name__: f for f in (page_texts, web_phrases, web_check, doi_cleaned, crossref_records, bibtex_records, references_deduplicated, diff_html, diff_lines, diff_words)}
+SEEN = f"replace(replace(replace(replace(replace('See <it> & ' || {MARKERS[1]['apa']} || ' ' || {MARKERS[1]['ieee']}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 ORACLE_SQL = {
+    "diff_html": f"with {REFERENCES_SQL} select doc_id, idx::int as idx, regexp_replace({SEEN}, '{diffs.MARKS}', '<mark class=\"cite\">\\1</mark>', 'g') as html from refs",
     "page_texts": "select page_id, substr(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\\s+', ' ', 'g'), 1, 3000) as text from (select page_id, case when strlen(html) <= 15000 then html else left(html, n) || case when strlen(left(html, n)) < 15000 then chr(65533) else '' end end as h from (select *, case when strlen(html) > 15000 then list_max(list_filter(range(3750, 15001), lambda i: strlen(left(html, i)) <= 15000)) end as n from pages))",
     "web_phrases": f"""with s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), 1) as pos from documents),
  w as (select doc_id, pos, list_filter(string_split(trim(s), ' '), lambda x: x <> '') as w from s),

@@ -66,21 +66,17 @@ def _frames(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "ext", "text", "error"])
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
+def parsed(files: DataFrame) -> DataFrame:
+    """SCHEMA rows of a table (path, content)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield _frames([read_one(p, bytes(c)) for p, c in zip(b["path"], b["content"], strict=True)])
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """The documents within zip files; folders, hidden resource entries and other types are passed over."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
+def unzipped(files: DataFrame) -> DataFrame:
+    """SCHEMA rows of the documents in zip files (path, content); hidden resource entries and other types are passed over."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -93,7 +89,33 @@ def read_zips(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, "zip", None, str(e)))
             yield _frames(rows)
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """All files below a path."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def read_zips(spark: SparkSession, path: str) -> DataFrame:
+    """The documents within the zip files below a path."""
+    return unzipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path))
+
+
+def as_zip(names: Column, contents: Column) -> Column:
+    """Binary column of zip files from arrays of names and contents."""
+
+    def run(many: pd.Series, data: pd.Series) -> pd.Series:
+        def one(entries, bodies) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for n, c in zip(entries, bodies, strict=True):
+                    z.writestr(zipfile.ZipInfo(n), bytes(c))
+            return out.getvalue()
+
+        return pd.Series([one(n, c) for n, c in zip(many, data, strict=True)])
+
+    return F.pandas_udf(run, "binary")(names, contents)
 
 
 def docx_bytes(text: str) -> bytes:
