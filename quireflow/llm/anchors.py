@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 
 #: Windows of a piece; anchors do not depend on it.
-PIECE = 1 << 18
+PIECE = 1 << 17
 #: Odd bases of two hashes of the same symbols.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLACE = np.uint64(0xFFFFF)

@@ -46,7 +46,11 @@ WINDOW, PASSAGE = 400, 51
 #: Different stretches that a task brings together on average, and of one core at most; windows of a finer bucket.
 TOGETHER, HOT, FINE = 512, 512, 16
 #: Bytes of the texts that a task walks at a time, but for a longer text.
-SLICE = 1 << 22
+SLICE = 1 << 21
+#: Rows whose spans a task holds at a time.
+ROWS = 200
+#: Rows that a task gathers before it hands them on.
+FLUSH = 2_000
 #: A place is one number: start, number of windows, distance of the first one to the anchor, bucket; their lowest bits.
 START, COUNT, AWAY, FIELD = 31, 19, 7, (1 << 12) - 1
 #: Bucket numbers: those of words come behind those of bytes, then that of the row that stands for a whole text.
@@ -266,6 +270,11 @@ def compare(table: pa.Table) -> pa.Table:
     return pa.table({"core": pa.array([r["core"] for r in rows], pa.int64()), "content": pa.array([r["content"] for r in rows], pa.int64()), "ranges": pa.array(map(ranges, flags), kind)})
 
 
+def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def slacks(texts: DataFrame, wanted: DataFrame, window: int, passage: int | None) -> DataFrame:
     """CLASS rows for rows (core, content, whole, th, place), with the symbols cut out of the texts.
 
@@ -297,8 +306,11 @@ def slacks(texts: DataFrame, wanted: DataFrame, window: int, passage: int | None
                     left, right = symbols[start : at - near], symbols[at - far + unit.window : start + n - 1 + unit.window]
                     owner = x["core"] ^ x["content"] if x["whole"] or not unit.words else int.from_bytes(th[:8], "little", signed=True)
                     out.append((x["core"], x["content"], n, far - near, symbols.itemsize, left.tobytes(), right.tobytes(), owner))
+                if len(out) >= FLUSH:
+                    yield batch_of(out, kinds, names)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield batch_of(out, kinds, names)
 
     return texts.mapInArrow(run, CLASS)
 
@@ -316,16 +328,16 @@ def finer(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                core, slack = r["core"].to_bytes(8, "little", signed=True), r["slack"]
-                for lo, hi, near, far, l_own, l_core, r_core, r_own in cut_finer(r["left"], r["right"], r["n"], slack, r["item"], FINE if slack >= FINE else 1):
-                    number = near.to_bytes(4, "little") + far.to_bytes(4, "little")
-                    longer = digest(b"c", number, core, l_core, r_core)
-                    content = digest(b"s", number, core, len(l_own).to_bytes(4, "little"), l_own, l_core, r_core, r_own)
-                    out.append((longer, content, hi - lo + 1, far - near, r["item"], l_own, r_own, r["owner"], r["core"], r["content"], lo))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            for at in range(0, b.num_rows, ROWS):
+                out = []
+                for r in b.slice(at, ROWS).to_pylist():
+                    core, slack = r["core"].to_bytes(8, "little", signed=True), r["slack"]
+                    for lo, hi, near, far, l_own, l_core, r_core, r_own in cut_finer(r["left"], r["right"], r["n"], slack, r["item"], FINE if slack >= FINE else 1):
+                        number = near.to_bytes(4, "little") + far.to_bytes(4, "little")
+                        longer = digest(b"c", number, core, l_core, r_core)
+                        content = digest(b"s", number, core, len(l_own).to_bytes(4, "little"), l_own, l_core, r_core, r_own)
+                        out.append((longer, content, hi - lo + 1, far - near, r["item"], l_own, r_own, r["owner"], r["core"], r["content"], lo))
+                yield batch_of(out, kinds, names)
 
     return classes.select(*names[:8]).mapInArrow(run, f"{CLASS}, of_core long, of_content long, skip int")
 
@@ -407,27 +419,30 @@ def spans_removed(docs: DataFrame, text_col: str = "text", keep=("doc_id",), win
     joined = docs.select(*keep, whole_text.alias(whole), th.alias(key)).join(per.select(F.col("th").alias(key), F.col("ranges").alias(name)), key, "left")
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("n_passage_words", pa.int64()), *([("kept", pa.binary())] if texts_too else [])]
 
-    def passages(text: str, cuts: list[dict]) -> list[tuple[int, int]]:
+    def passages(text: pa.Scalar, cuts: list[dict]) -> list[tuple[int, int]]:
         if passage and any(r["bucket"] == WHOLE_TEXT for r in cuts):
-            n = sum(1 for _ in WORD.finditer(text))
+            n = sum(1 for _ in WORD.finditer(text.as_py()))
             return [(0, n)] if n >= passage else []
         return covered([r for r in cuts if WORDS <= r["bucket"] < WHOLE_TEXT], passage or 0)
 
+    def one(text: pa.Scalar, cuts: list[dict]) -> tuple:
+        data, at, digest, kept = memoryview(text.as_buffer()), 0, sha256(), []
+        spans = covered([r for r in cuts if r["bucket"] < WORDS], window)
+        for lo, hi in [*spans, (len(data), len(data))]:
+            digest.update(data[at:lo])
+            if texts_too:
+                kept.append(data[at:lo])
+            at = hi
+        shared = passages(text, cuts)
+        removed = sum(hi - lo for lo, hi in spans)
+        return (len(data), removed, len(spans), digest.hexdigest(), len(shared), sum(b - a for a, b in shared), b"".join(kept))[: len(fields)]
+
     def run(batches):
-        for b in batches:
-            out = []
-            for text, cuts in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
-                data, cuts = text.encode("utf-8"), cuts or []
-                kept, at, spans = [], 0, covered([r for r in cuts if r["bucket"] < WORDS], window)
-                for lo, hi in spans:
-                    kept.append(data[at:lo])
-                    at = hi
-                kept.append(data[at:])
-                rest = b"".join(kept)
-                shared = passages(text, cuts)
-                out.append((len(data), len(data) - len(rest), len(spans), sha256(rest).hexdigest(), len(shared), sum(b - a for a, b in shared), rest)[: len(fields)])
-            cols = [pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)] if out else [pa.array([], k) for _, k in fields]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *[n for n, _ in fields]])
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # some rows at a time, so that few ranges are Python's objects
+                b = batch.slice(at, ROWS)
+                out = [one(text, cuts or []) for text, cuts in zip(b.column(len(keep)), b.column(len(keep) + 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)]], names=[*keep, *[n for n, _ in fields]])
 
     src = joined.select(*keep, whole, name)
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + (", kept binary" if texts_too else "")
