@@ -77,22 +77,23 @@ def least_of(keys: np.ndarray, width: int) -> np.ndarray:
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word of the documents that lie in ``data`` from offset to offset, and the offsets of their words."""
     starts, ends = [], []
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
     for a in range(0, len(data), PIECE):
         b = min(a + PIECE, len(data))
         word = np.zeros(b - a + 2, bool)  # with the byte before and the byte behind
         low, high = max(0, a - 1), min(len(data), b + 1)
         word[low - a + 1 : high - a + 1] = ~SPACES[data[low:high]]
         before, own, after = word[:-2], word[1:-1], word[2:]
-        starts.append(np.flatnonzero(own & (~before | cut[a:b])) + a)
-        ends.append(np.flatnonzero(own & (~after | cut[a + 1 : b + 1])) + a + 1)
+        cut = np.zeros(b - a + 1, bool)  # where a document begins or ends
+        cut[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        starts.append((np.flatnonzero(own & (~before | cut[:-1])) + a).astype(np.int32))  # a column of texts has less than 2 GB
+        ends.append((np.flatnonzero(own & (~after | cut[1:])) + a + 1).astype(np.int32))
     if not starts:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    starts = np.concatenate(starts)
+    ends = np.concatenate(ends)
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
-        to = int(np.searchsorted(ends, starts[at] + PIECE, "right"))
+        to = int(np.searchsorted(ends, int(starts[at]) + PIECE, "right"))
         if to <= at:  # a word longer than a piece
             out[at], at = xxhash.xxh64_intdigest(data[starts[at] : ends[at]]), at + 1
             continue
