@@ -150,6 +150,10 @@ FAST = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|
 BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
 
 
+#: Below, every code point is assigned; a search for a plain range costs next to nothing.
+HIGH = re.compile("[^\x00-\u0377]")
+
+
 @cache
 def unassigned() -> re.Pattern:
     """Code points that this Python's Unicode tables do not know; the library's may."""
@@ -196,7 +200,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.auto.labels[i] for i in ids)
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
-        if not text.isascii() and unassigned().search(text):
+        if not text.isascii() and HIGH.search(text) and unassigned().search(text):
             return list(map(self.paths.__getitem__, self.words_by_library(text)))
         text = normalise(text)
         return list(map(self.paths.__getitem__, (WORD if BEYOND.search(text) else FAST).findall(text)))
