@@ -1,6 +1,11 @@
 """A training corpus from raw documents: language ID, near-dedup, personal data, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Defined results: documents whose text is null, empty or without a letter go in the first stage, whatever their other
+columns hold; a null id or source is a value like any other. Of equal rows, and of rows whose texts form a class, the second
+stage keeps one. Ties are settled by the operators' rules, so reruns agree. An empty table gives an empty result. Extra
+columns go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -268,6 +268,24 @@ def test_links_are_complete(spark, bucket):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_classes_of_texts_from_end_to_end(spark):
+    """Fingerprint and class of every row, against all pairs of rows."""
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(rng.randint(1, 90))) for _ in range(30)]
+    texts = [None, "", " \n", *base]
+    for t in base:
+        words = t.split()
+        for _ in range(3):
+            i = rng.randrange(len(words))
+            texts.append(" ".join([*words[:i], rng.choice(["zz", words[i].upper(), "b"]), *words[i + 1 :]]))
+    prints = [fingerprint_brute(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if bin(prints[i] ^ prints[j]).count("1") <= 3) for i in range(len(texts))]
+    rows = simhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{prints[i]:016x}", root[i]) for i in range(len(texts))}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)]
     got = {r["u"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

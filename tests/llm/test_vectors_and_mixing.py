@@ -189,3 +189,19 @@ def test_pipeline_against_its_own_decisions(spark):
     assert sizes[0] == docs.where(F.col("text").rlike(r"\p{L}")).count() and sizes[1] <= sizes[0] and sizes[2] == sizes[1]
     assert after.where(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9]")).count() == 0
     assert P.run(spark, SF).count() == sizes[3]
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty):
+    import corpus_pipeline as P
+
+    for docs in (awkward, empty):
+        after = docs
+        for name, stage in P.STAGES[:-1]:
+            after = stage(spark, after, SF)
+            assert after.columns == docs.columns, name
+            rows = after.collect()
+            if docs is awkward and name == "near_dedup":
+                assert all(r["text"] and r["lang"] for r in rows) and len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
+                assert sum(r["doc_id"] == 5 for r in rows) == 1 and sum(r["doc_id"] is None for r in rows) == 1
+        out = P.STAGES[-1][1](spark, after, SF).collect()
+        assert len(out) == len(rows) and (docs is awkward) == bool(out)
