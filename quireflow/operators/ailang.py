@@ -1,29 +1,29 @@
 """Formulaic prose: seven signals of every sentence, a score, and roll-ups by paragraph and document.
 
-Sentence signals are projections. Document signals are windows over the document. The greatest word overlap with another
-sentence comes from a self-join on (document, word), which misses no sentence that shares a word.
+Sentence signals are projections. Document signals are windows over the document. What a sentence shares with the others of
+its text is counted where the text is split, over all pairs that share a word; no rows of pairs are made.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from .sentences import DETECTING, sentences
+from .sentences import DETECTING, pieces
 
 LEAST_WORDS, LEAST_TOTAL, FLAGGED = 5, 20, 0.48
 SIGNALS = ("predictability", "rhythm_uniformity", "redundancy", "low_specificity", "style_contrast", "genericity")
 
 
-def listed(xs: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in xs])
-
-
 def hits(words: Column, xs: list[str]) -> Column:
-    return F.size(F.filter(words, lambda w: F.array_contains(listed(xs), w)))
+    return F.size(F.filter(words, lambda w: w.isin(xs)))
 
 
 def paragraphs(c: Column) -> Column:
@@ -37,13 +37,91 @@ def paragraph_of(start: Column, paras: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(paras, lambda p: p["start"] <= start)))
 
 
+WORD, STOPWORDS = re.compile("[A-Za-z][A-Za-z'-]*"), frozenset(V.STYLE_STOPWORDS)
+#: Cells of a matrix of sentences and words; beyond, the sentences of each word are listed instead.
+CELLS = 4_000_000
+FOUND = "array<struct<text:string,start:int,end:int,repeated:int,grams:int,overlap:double>>"
+
+
+def greatest_overlaps(kinds: list[set[str]]) -> np.ndarray:
+    """For every set, the greatest Jaccard coefficient with another one."""
+    n, ids = len(kinds), {}
+    cols = np.array([ids.setdefault(w, len(ids)) for k in kinds for w in k], np.int64)
+    sizes = np.array([len(k) for k in kinds], np.int64)
+    if n < 2 or not ids:
+        return np.zeros(n)
+    out, rows = np.zeros(n), np.repeat(np.arange(n), sizes)
+    if n * len(ids) <= CELLS:
+        held = np.zeros((n, len(ids)), np.float32)
+        held[rows, cols] = 1
+        for at in range(0, n, 256):
+            both = (held[at : at + 256] @ held.T).astype(np.float64)
+            both[np.arange(len(both)), np.arange(at, at + len(both))] = 0
+            out[at : at + 256] = (both / np.maximum(1, sizes[at : at + 256, None] + sizes - both)).max(1)
+        return out
+    order = np.argsort(cols, kind="stable")
+    by_word = np.split(rows[order], np.cumsum(np.bincount(cols))[:-1])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    for i in np.flatnonzero(sizes):
+        others, both = np.unique(np.concatenate([by_word[c] for c in cols[starts[i] : starts[i + 1]]]), return_counts=True)
+        both[others == i] = 0
+        out[i] = (both / (sizes[i] + sizes[others] - both)).max()
+    return out
+
+
+def repeats(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the sentences of a text: its phrases of two and three content words that others have, all of them, and the greatest overlap of content words.
+
+    Sentences of fewer than LEAST_WORDS words do not count.
+    """
+    repeated, sizes, first, kinds, kept = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), {}, [], []
+    for i, text in enumerate(texts):
+        words = WORD.findall(text)
+        if len(words) < LEAST_WORDS:
+            continue
+        content = [w for w in " ".join(words).lower().split(" ") if len(w) > 2 and w not in STOPWORDS]
+        grams = {*zip(content, content[1:], strict=False), *zip(content, content[1:], content[2:], strict=False)}
+        sizes[i] = len(grams)
+        again = 0
+        for g in grams:
+            if (j := first.setdefault(g, i)) != i:
+                again += 1
+                if j >= 0:
+                    repeated[j] += 1
+                    first[g] = -1
+        repeated[i] += again
+        kinds.append(set(content))
+        kept.append(i)
+    overlap = np.zeros(len(texts))
+    overlap[kept] = greatest_overlaps(kinds)
+    return repeated, sizes, overlap
+
+
+def found_sentences(c: Column) -> Column:
+    """Array of (text, start, end, repeated, grams, overlap)."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        offsets, found, counts = [0], [], []
+        for text in texts:
+            found += (own := pieces(text.as_py() or "", DETECTING))
+            counts.append(repeats([p[0] for p in own]))
+            offsets.append(len(found))
+        texts_, starts, ends = zip(*found, strict=True) if found else ((), (), ())
+        numbers = [np.concatenate([x[k] for x in counts]) if counts else np.zeros(0) for k in range(3)]
+        columns = [pa.array(texts_, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(numbers[0], pa.int32()), pa.array(numbers[1], pa.int32()), pa.array(numbers[2], pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["text", "start", "end", "repeated", "grams", "overlap"]))
+
+    return F.arrow_udf(run, FOUND)(c)
+
+
 def split_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, text, start, end, line, paragraph) of every sentence."""
+    """(doc_id, pos, text, start, end, line, paragraph) of every sentence, and what it shares with others: repeated, grams, overlap."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    d = docs.select(doc_id, clean.alias("clean")).withColumn("paras", paragraphs(F.col("clean"))).withColumn("found", sentences(F.col("clean"), DETECTING))
-    s = d.select(doc_id, "clean", "paras", F.posexplode("found").alias("pos", "s"))
+    d = docs.select(doc_id, clean.alias("clean")).withColumn("paras", paragraphs(F.col("clean"))).withColumn("found", found_sentences(F.col("clean")))
+    # outer: else a filter on the array's size has the texts split twice
+    s = d.select(doc_id, "clean", "paras", F.posexplode_outer("found").alias("pos", "s")).where("s is not null")
     line = F.regexp_count(F.substr("clean", F.lit(1), F.col("s.start")), F.lit("\n")) + 1
-    return s.select(doc_id, "pos", "s.text", "s.start", "s.end", line.alias("line"), paragraph_of(F.col("s.start"), F.col("paras")).alias("paragraph"))
+    return s.select(doc_id, "pos", "s.text", "s.start", "s.end", line.alias("line"), paragraph_of(F.col("s.start"), F.col("paras")).alias("paragraph"), "s.repeated", "s.grams", "s.overlap")
 
 
 def sentence_signals(s: DataFrame) -> DataFrame:
@@ -86,19 +164,10 @@ def document_signals(s: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return s.withColumn("reasons", with_reason(F.col("z") > 1.8, "style differs from document baseline")).drop("mean_n", "sd_n", "mean_d", "sd_d", "para_cv", "z")
 
 
-def redundancy(s: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def redundancy(s: DataFrame) -> DataFrame:
     """Adds redundancy: the share of phrases that other sentences have, and the greatest overlap of content words."""
-    s = s.withColumns({"grams": F.array_distinct(F.concat(T.ngrams(F.col("content"), 2), T.ngrams(F.col("content"), 3))), "kinds": F.array_distinct("content")})
-    grams = s.select(doc_id, "pos", F.explode_outer("grams").alias("g")).where("g is not null")
-    again = grams.withColumn("df", F.count("*").over(W.partitionBy(doc_id, "g"))).where("df > 1").groupBy(doc_id, "pos").agg(F.count("*").alias("repeated"))
-    words = s.select(doc_id, "pos", F.size("kinds").alias("size"), F.explode_outer("kinds").alias("w"))
-    a, b = words.alias("a"), words.alias("b")
-    shared = a.join(b, (F.col(f"a.{doc_id}") == F.col(f"b.{doc_id}")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") != F.col("b.pos")))
-    shared = shared.groupBy(F.col(f"a.{doc_id}").alias(doc_id), F.col("a.pos").alias("pos"), F.col("b.pos").alias("other")).agg(F.count("*").alias("both"), F.first("a.size").alias("x"), F.first("b.size").alias("y"))
-    most = shared.groupBy(doc_id, "pos").agg(F.max(F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).alias("overlap"))
-    s = s.join(again, [doc_id, "pos"], "left").join(most, [doc_id, "pos"], "left")
-    s = s.withColumn("redundancy", T.clamp(F.coalesce("repeated", F.lit(0)) / F.greatest(F.lit(1), F.size("grams")) * 0.65 + F.coalesce("overlap", F.lit(0.0)) * 0.55))
-    return s.withColumn("reasons", with_reason(F.col("redundancy") > 0.40, "repeated concepts or phrasing")).drop("grams", "kinds", "repeated", "overlap")
+    s = s.withColumn("redundancy", T.clamp(F.col("repeated") / F.greatest(F.lit(1), "grams") * 0.65 + F.col("overlap") * 0.55))
+    return s.withColumn("reasons", with_reason(F.col("redundancy") > 0.40, "repeated concepts or phrasing")).drop("repeated", "grams", "overlap")
 
 
 def tier(score: Column, high: float = 0.72, medium: float = FLAGGED) -> Column:
@@ -115,8 +184,9 @@ def finished(s: DataFrame) -> DataFrame:
 
 
 def analysed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every kept sentence with its signals, score, tier and reasons."""
-    return finished(redundancy(document_signals(sentence_signals(split_documents(docs, doc_id, text)), doc_id), doc_id))
+    """Every kept sentence with its signals, score, tier and reasons, in the order of the text, so that sums over it agree."""
+    s = document_signals(sentence_signals(split_documents(docs, doc_id, text)), doc_id)
+    return finished(redundancy(s).sortWithinPartitions(doc_id, "pos"))
 
 
 def recommendation(names: tuple = ()) -> Column:

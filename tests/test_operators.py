@@ -198,3 +198,23 @@ def test_stream(spark, tmp_path):
     q = checks.each_batch(checks.document_stream(spark, str(tmp_path / "in")), sources, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/overlap")).first()["label"] == "HIGH RISK"
+
+
+def test_overlaps_of_sentences_against_brute_force(monkeypatch):
+    kinds = [{"a", "b"}, {"b", "c", "d"}, set(), {"x"}, {"a", "b"}, {"d", "e"}]
+    want = [max((len(x & y) / len(x | y) for j, y in enumerate(kinds) if j != i and x | y), default=0) for i, x in enumerate(kinds)]
+    assert list(ailang.greatest_overlaps(kinds)) == want
+    monkeypatch.setattr(ailang, "CELLS", 0)
+    assert list(ailang.greatest_overlaps(kinds)) == want and list(ailang.greatest_overlaps([{"a"}])) == [0]
+    text = "alpha bravo charlie delta echo. two three. alpha bravo charlie golf hotel. alpha bravo alpha bravo india."
+    repeated, grams, _ = ailang.repeats([s["text"] for s in sentences.split(text.replace(". ", ".\n\"").strip(), sentences.DETECTING)])
+    assert (list(repeated), list(grams)) == ([3, 0, 3, 1], [7, 0, 7, 6])
+
+
+@pytest.mark.parametrize("roll_up", [ailang.documents, ailang.paragraph_reports])
+def test_detector_makes_no_rows_of_pairs(spark, roll_up):
+    docs = spark.createDataFrame([(1, "The same few words again and again here. " * 40)], "doc_id long, text string")
+    found = roll_up(ailang.analysed(docs))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    assert found.count() == 1 and {r["redundancy"] for r in ailang.analysed(docs).collect()} == {1.0}
