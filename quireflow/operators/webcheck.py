@@ -46,15 +46,18 @@ def sentences(c: Column) -> Column:
 
 
 def query_phrase(sentence: Column, n: int = PHRASE_WORDS) -> Column:
-    """The n words in a row that hold most content words, the first of equals."""
-    w = T.words(sentence)
-    stop = F.array(*[F.lit(x) for x in OVERLAP_STOPWORDS])
-
+    """The n words in a row that hold most content words, the first of equals. Every word is looked up once."""
     def content(x: Column) -> Column:
-        return ~F.array_contains(stop, F.regexp_replace(F.lower(x), "^[.,;:]+|[.,;:]+$", "")) & (F.length(x) > 3)
+        return (F.length(x) > 3) & ~F.regexp_replace(F.lower(x), "^[.,;:]+|[.,;:]+$", "").isin(OVERLAP_STOPWORDS)
+
+    def best(w: Column, flags: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(F.aggregate(F.slice(flags, i, n), F.lit(0), lambda a, x: a + x).alias("score"), (-i).alias("at")))
+        return F.array_join(F.slice(w, -F.array_max(windows)["at"], n), " ")
+
+    def of(w: Column) -> Column:
+        return F.when(F.size(w) >= n, T.let(F.transform(w, lambda x: content(x).cast("int")), lambda flags: best(w, flags))).otherwise(F.array_join(w, " "))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(F.size(F.filter(F.slice(w, i, n), content)).alias("score"), (-i).alias("at"), F.array_join(F.slice(w, i, n), " ").alias("phrase")))
-    return F.when(F.size(w) >= n, F.array_max(windows)["phrase"]).otherwise(F.array_join(w, " "))
+    return T.let(T.words(sentence), of)
 
 
 def queries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = QUERIES) -> DataFrame:

@@ -218,3 +218,9 @@ def test_detector_makes_no_rows_of_pairs(spark, roll_up):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
     assert found.count() == 1 and {r["redundancy"] for r in ailang.analysed(docs).collect()} == {1.0}
+
+
+def test_query_phrase_looks_every_word_up_once(spark):
+    df = spark.createDataFrame([("the of alpha, it. bravo charlie the delta echo foxtrot golfing hotel india of it",), ("one two",), (None,)], "a string").select(webcheck.query_phrase(F.col("a")).alias("v"))
+    assert [r["v"] for r in df.collect()] == ["bravo charlie the delta echo foxtrot golfing hotel india", "one two", ""]
+    assert "filter(slice" not in df._jdf.queryExecution().optimizedPlan().toString()
