@@ -7,6 +7,7 @@ its text is counted where the text is split, over all pairs that share a word; n
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +27,34 @@ def hits(words: Column, xs: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(xs)))
 
 
-def paragraphs(c: Column) -> Column:
-    """Array of (start, end) of paragraphs between blank lines, without white space around."""
-    found = T.spans(c, r"(?s)\S(?:(?!\n\s*\n).)*")
-    return F.transform(found, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(F.regexp_replace(p["text"], r"\s+$", ""))).alias("end")))
+BLANK_LINE, NO_SPACE = re.compile(r"\n\s*\n", re.ASCII), re.compile(r"\S", re.ASCII)
 
 
-def paragraph_of(start: Column, paras: Column) -> Column:
-    """Number of the paragraph that a sentence starts in; between paragraphs, of the one before."""
-    return F.greatest(F.lit(1), F.size(F.filter(paras, lambda p: p["start"] <= start)))
+def paragraph_starts(text: str) -> list[int]:
+    """Where paragraphs between blank lines start, without white space before."""
+    out, at = [], 0
+    while first := NO_SPACE.search(text, at):
+        out.append(first.start())
+        if not (blank := BLANK_LINE.search(text, first.end())):
+            break
+        at = blank.end()
+    return out
+
+
+def places(text: str, starts: list[int]) -> tuple[list[int], list[int]]:
+    """Line and paragraph, from 1, of every sentence by its start; between paragraphs, the one before. One pass over the text."""
+    lines, at, line, paras = [], 0, 1, paragraph_starts(text)
+    for start in starts:
+        line += text.count("\n", at, start)
+        at = start
+        lines.append(line)
+    return lines, [max(1, bisect_right(paras, start)) for start in starts]
 
 
 WORD, STOPWORDS = re.compile("[A-Za-z][A-Za-z'-]*"), frozenset(V.STYLE_STOPWORDS)
 #: Cells of a matrix of sentences and words; beyond, the sentences of each word are listed instead.
 CELLS = 4_000_000
-FOUND = "array<struct<text:string,start:int,end:int,repeated:int,grams:int,overlap:double>>"
+FOUND = "array<struct<text:string,start:int,end:int,line:int,paragraph:int,repeated:int,grams:int,overlap:double>>"
 
 
 def greatest_overlaps(kinds: list[set[str]]) -> np.ndarray:
@@ -98,18 +112,21 @@ def repeats(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def found_sentences(c: Column) -> Column:
-    """Array of (text, start, end, repeated, grams, overlap)."""
+    """Array of (text, start, end, line, paragraph, repeated, grams, overlap)."""
 
     def run(texts: pa.Array) -> pa.Array:
-        offsets, found, counts = [0], [], []
-        for text in texts:
-            found += (own := pieces(text.as_py() or "", DETECTING))
+        offsets, found, lines, paras, counts = [0], [], [], [], []
+        for value in texts:
+            text = value.as_py() or ""
+            found += (own := pieces(text, DETECTING))
+            for all_, new in zip((lines, paras), places(text, [p[1] for p in own]), strict=True):
+                all_ += new
             counts.append(repeats([p[0] for p in own]))
             offsets.append(len(found))
         texts_, starts, ends = zip(*found, strict=True) if found else ((), (), ())
         numbers = [np.concatenate([x[k] for x in counts]) if counts else np.zeros(0) for k in range(3)]
-        columns = [pa.array(texts_, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(numbers[0], pa.int32()), pa.array(numbers[1], pa.int32()), pa.array(numbers[2], pa.float64())]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["text", "start", "end", "repeated", "grams", "overlap"]))
+        columns = [pa.array(texts_, pa.string()), *[pa.array(x, pa.int32()) for x in (starts, ends, lines, paras, numbers[0], numbers[1])], pa.array(numbers[2], pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["text", "start", "end", "line", "paragraph", "repeated", "grams", "overlap"]))
 
     return F.arrow_udf(run, FOUND)(c)
 
@@ -117,17 +134,17 @@ def found_sentences(c: Column) -> Column:
 def split_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, text, start, end, line, paragraph) of every sentence, and what it shares with others: repeated, grams, overlap."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    d = docs.select(doc_id, clean.alias("clean")).withColumn("paras", paragraphs(F.col("clean"))).withColumn("found", found_sentences(F.col("clean")))
     # outer: else a filter on the array's size has the texts split twice
-    s = d.select(doc_id, "clean", "paras", F.posexplode_outer("found").alias("pos", "s")).where("s is not null")
-    line = F.regexp_count(F.substr("clean", F.lit(1), F.col("s.start")), F.lit("\n")) + 1
-    return s.select(doc_id, "pos", "s.text", "s.start", "s.end", line.alias("line"), paragraph_of(F.col("s.start"), F.col("paras")).alias("paragraph"), "s.repeated", "s.grams", "s.overlap")
+    s = docs.select(doc_id, F.posexplode_outer(found_sentences(clean)).alias("pos", "s")).where("s is not null")
+    return s.select(doc_id, "pos", "s.*")
 
 
 def sentence_signals(s: DataFrame) -> DataFrame:
     """Adds words, content words, n, and the signals that a sentence shows by itself, with the reasons so far."""
+    # counted first: a filter on the array's size has the words taken twice
+    s = s.where(F.regexp_count("text", F.lit("[A-Za-z][A-Za-z'-]*")) >= LEAST_WORDS)
     s = s.withColumn("words", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z'-]*)"), F.lit(1)), F.lower))
-    s = s.withColumns({"n": F.size("words"), "content": T.content_words(F.col("words"), V.STYLE_STOPWORDS), "lower": F.lower("text")}).where(F.col("n") >= LEAST_WORDS)
+    s = s.withColumns({"n": F.size("words"), "content": T.content_words(F.col("words"), V.STYLE_STOPWORDS), "lower": F.lower("text")})
     n = F.col("n")
     starts = F.get("words", F.lit(0)).isin(V.STYLE_TRANSITIONS) | F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(1))).isin("in addition", "as a")
     phrase = F.lit(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quireflow.functions import vocabulary as V
-from quireflow.operators import refparse, webcheck
+from quireflow.operators import ailang, refparse, webcheck
 from quireflow.operators.authors import surname
 from quireflow.plans import reference_queries
 from quireflow.plans.ailang_queries import CASES
@@ -185,3 +185,19 @@ def test_entries_are_parsed_once_for_each_part(spark, tmp_path, monkeypatch, nam
             w |= {"label": who, "authors": ";".join(f"{a['surname']}, {a['initials']}" for a in w["authors"])}
         assert r.asDict() == w
     assert not want
+
+
+def test_sentences_are_placed_without_carrying_the_text(spark):
+    """The line and paragraph of every sentence, in one pass: no copy of a text, or search of it, for each of its sentences."""
+    texts = ["One here.\r\n \t\r\nTwo there. Three\nis long.\n\n\n  Four. Five.\n", "  \n\n Lead. \n \n\n Then \u00e9t\u00e9 \U0001f600 on.\n\x1c\nLast.", "", None, "A line. " * 300 + "\n\n" + "B line.\n" * 300]
+    df = ailang.split_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = defaultdict(list)
+    for r in df.orderBy("doc_id", "pos").collect():
+        got[r["doc_id"]].append((r["start"], r["line"], r["paragraph"]))
+    for d, text in enumerate(texts):
+        clean = re.sub("\r\n?", "\n", text or "")
+        paras = [m.start() for m in re.finditer(r"\S(?:(?!\n\s*\n).)*", clean, re.S | re.A)]
+        assert got[d] == [(at, clean.count("\n", 0, at) + 1, max(1, sum(p <= at for p in paras))) for at, _, _ in got[d]]
+    assert [x[1:] for x in got[0]] == [(1, 1), (3, 2), (3, 2), (7, 3), (7, 3)] and len(got[4]) == 600
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Generate posexplode\(\w+#\d+\), \[doc_id#\d+L\], true", plan), plan
