@@ -10,6 +10,8 @@ A pre-split word is encoded from left to right: behind each prefix stands the la
 path arrives there, the longest token that ends there and may follow the label behind its own beginning. A word's path is
 kept, so that a word seen before costs one look-up. Decoding emits the labels of the arcs.
 
+A worker of each core has the tables and paths to itself, so they are packed: numbers in arrays, a path as its ids alone.
+
 Case and classes of characters are those of this Python; texts with code points that its tables lack are split by the
 tokenizers library, whose tables may be newer.
 
@@ -22,7 +24,9 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import unicodedata
+from array import array
 from dataclasses import dataclass, field
 from functools import cache
 from hashlib import sha256
@@ -48,44 +52,53 @@ def byte_alphabet() -> dict[int, str]:
 
 @dataclass
 class Automaton:
-    """Tables of the merge gadgets over label numbers (token ids), and the labels themselves."""
+    """Tables of the merge gadgets over label numbers (token ids), and the labels themselves.
+
+    ``left``, ``right`` and ``made`` hold -1 for labels that no merge makes; ``known`` has answers of ``may_follow`` under
+    p * len(labels) + w.
+    """
 
-    labels: dict[int, str]
-    left: dict[int, int]
-    right: dict[int, int]
-    made: dict[int, int]
+    labels: list[str]
+    left: array
+    right: array
+    made: array
     taken: dict[tuple[int, int], int]
     by_text: dict[str, int]
     end_mark: str
-    known: dict[tuple[int, int], bool] = field(default_factory=dict)
+    known: dict[int, bool] = field(default_factory=dict)
 
     @classmethod
     def compile(cls, vocab: dict[str, int], merges: list[tuple[str, str]], end_mark: str) -> Automaton:
-        left, right, made, taken = {}, {}, {}, {}
+        size = max(vocab.values(), default=-1) + 1
+        labels = [""] * size
+        for text, i in vocab.items():
+            labels[i] = text
+        left, right, made, taken = array("i", [-1]) * size, array("i", [-1]) * size, array("i", [-1]) * size, {}
         for time, (u, v) in enumerate(merges):
             w = vocab[u + v]
-            if w in made:
+            if made[w] >= 0:
                 raise ValueError(f"two merges make {u + v!r}")
             left[w], right[w], made[w], taken[vocab[u], vocab[v]] = vocab[u], vocab[v], time, time
-        return cls({i: t for t, i in vocab.items()}, left, right, made, taken, vocab, end_mark)
+        return cls(labels, left, right, made, taken, vocab, end_mark)
 
     def may_follow(self, p: int, w: int) -> bool:
         """Whether the state behind label p has an arc w after the last gadget."""
-        found = self.known.get((p, w))
+        key = p * len(self.labels) + w
+        found = self.known.get(key)
         if found is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            found = self.known[p, w] = self._arc(p, w)
+            found = self.known[key] = self._arc(p, w)
         return found
 
     def _arc(self, p: int, w: int) -> bool:
         # Time 2k is just before gadget k takes its arc, 2k + 1 just after.
-        now = 2 * len(self.made) + 2
+        now = 2 * len(self.taken) + 2
         while True:
             gone = self.taken.get((p, w))
             if gone is not None and 2 * gone < now:
                 return False
-            tp, tw = self.made.get(p, -1), self.made.get(w, -1)
+            tp, tw = self.made[p], self.made[w]
             if tp < 0 and tw < 0:
                 return True
             if tp > tw:  # the state behind p was made as a copy of the state behind its right part
@@ -100,12 +113,12 @@ class Automaton:
         n, by_text = len(symbols), self.by_text
         word, marked = "".join(s[0] for s in symbols), "".join(symbols)
         behind, back = [-1] * (n + 1), [0] * (n + 1)
-        longest, known = self.longest, self.known
+        longest, known, size = self.longest, self.known, len(self.labels)
         for i in range(1, n + 1):
             for j in range(max(0, i - longest), i):
                 label = by_text.get(marked[j:] if i == n else word[j:i])
                 if label is not None:
-                    if j and (ok := known.get((behind[j], label))) is not True and (ok is False or not self.may_follow(behind[j], label)):
+                    if j and (ok := known.get(behind[j] * size + label)) is not True and (ok is False or not self.may_follow(behind[j], label)):
                         continue
                     behind[i], back[i] = label, j
                     break
@@ -157,10 +170,14 @@ HIGH = re.compile("[^\x00-\u0377]")
 @cache
 def unassigned() -> re.Pattern:
     """Code points that this Python's Unicode tables do not know; the library's may."""
-    gone = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    first = [c for i, c in enumerate(gone) if not i or gone[i - 1] != c - 1]
-    last = [c for i, c in enumerate(gone) if i + 1 == len(gone) or gone[i + 1] != c + 1]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True)) + "]")
+    spans: list[list[int]] = []
+    for c in range(0x80, 0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
 
 
 def normalise(text: str) -> str:
@@ -169,37 +186,40 @@ def normalise(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+class Paths(dict):
+    """Words to the ids of their paths, packed. Nothing refers back to it, so it goes with its encoder at once."""
+
+    def __init__(self, automaton: Automaton):
+        super().__init__()
+        self.auto, self.alphabet = automaton, byte_alphabet()
+
+    def __missing__(self, word: str) -> bytes:
+        symbols = [self.alphabet[b] for b in word.encode("utf-8")]
+        symbols[-1] += self.auto.end_mark
+        ids = self.auto.encode(symbols)
+        path = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = path
+        return path
+
+
 class Encoder:
     """Words to paths, with the paths of words seen before."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.auto = tokenizer.automaton
-        self.alphabet = byte_alphabet()
         self.specials = tokenizer.specials
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.labels = self.auto.labels + [""] * (max(self.specials.values(), default=-1) + 1 - len(self.auto.labels))
+        for label, i in self.specials.items():
+            self.labels[i] = label
         self.splitting, self.library = tokenizer.splitting, None
-        self.stands_for = {c: b for b, c in self.alphabet.items()}
-        outer = self
-
-        class Paths(dict):
-            def __missing__(self, word: str) -> tuple[bytes, str]:
-                path = outer.path(word)
-                if len(word) <= CACHE_LENGTH:
-                    if len(self) >= CACHE_WORDS:
-                        self.clear()
-                    self[word] = path
-                return path
-
-        self.paths = Paths()
-
-    def path(self, word: str) -> tuple[bytes, str]:
-        """A word's ids, packed, and the labels of its arcs."""
-        symbols = [self.alphabet[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.auto.end_mark
-        ids = self.auto.encode(symbols)
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.auto.labels[i] for i in ids)
+        self.paths = Paths(self.auto)
+        self.stands_for = {c: b for b, c in self.paths.alphabet.items()}
 
-    def plain(self, text: str) -> list[tuple[bytes, str]]:
+    def plain(self, text: str) -> list[bytes]:
         if not text.isascii() and HIGH.search(text) and unassigned().search(text):
             return list(map(self.paths.__getitem__, self.words_by_library(text)))
         text = normalise(text)
@@ -221,10 +241,14 @@ class Encoder:
         if self.special and "<|" in text:
             for m in self.special.finditer(text):
                 found += self.plain(text[at : m.start()])
-                found.append((struct.pack("<I", self.specials[m[0]]), m[0]))
+                found.append(struct.pack("<I", self.specials[m[0]]))
                 at = m.end()
         found += self.plain(text[at:] if at else text)
-        return b"".join([i for i, _ in found]), " ".join([d for _, d in found])
+        packed = b"".join(found)
+        ids = array("I", packed)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return packed, " ".join(map(self.labels.__getitem__, ids))
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", keep=("doc_id",), columns=("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:

@@ -60,21 +60,28 @@ def map_texts(
     ``make_kernel`` is called once a task; its kernel turns a list of texts into one sequence for each of ``fields``
     (name, Spark type). The ``keep`` columns pass through untouched. Nulls reach the kernel as ``null_text``.
     """
+    at = keep.index(text_col) if text_col in keep else len(keep)  # a text that is kept travels once
     text_name = fresh(df.select(*keep) if keep else df.limit(0), "text_in")
-    src = df.select(*[F.col(c) for c in keep], F.col(text_col).alias(text_name))
+    src = df.select(*[F.col(c) for c in keep], *[F.col(text_col).alias(text_name)][: at == len(keep)])
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
     kinds = [ARROW[t] for _, t in fields]
     names = [*keep, *[n for n, _ in fields]]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = make_kernel()
-        for batch in batches:
-            texts = [null_text if t is None else t for t in batch.column(len(keep)).to_pylist()]
+    def of_batch(kernel, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            rows = batch.slice(first, SLICE_ROWS)
+            texts = [null_text if t is None else t for t in rows.column(at).to_pylist()]
             for start, end in text_slices([t or "" for t in texts] if null_text is None else texts):
-                part = batch.slice(start, end - start)
+                part = rows.slice(start, end - start)
                 outs = [pa.array(x, type=k) for x, k in zip(kernel(texts[start:end]), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *outs], names=names)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = make_kernel()
+        for batch in batches:
+            yield from of_batch(kernel, batch)
+            del batch  # before the next one is read
+
     return src.mapInArrow(run, schema)
 
 

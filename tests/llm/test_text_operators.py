@@ -1,9 +1,13 @@
 """Text operators against brute force, and on awkward and empty tables."""
 
+import gc
 import hashlib
+import itertools
 import random
 import re
 import struct
+import tracemalloc
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -129,6 +133,31 @@ def test_tokens_on_awkward_rows(awkward, empty, coders):
     assert by[7]["n_tokens"] == 30_000 and bpe.encode_decode(empty, PATH).count() == 0
 
 
+def test_kept_paths_are_small_and_go_with_their_encoder():
+    """A worker makes an encoder a task, in the memory that the executor's JVM leaves."""
+    text = " ".join("xq" + "".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3))
+    encoder = bpe.Encoder(bpe.Tokenizer.load(PATH))
+    encoder.encode(text)
+    encoder.paths.clear()  # from here on only paths are added
+    paths = weakref.ref(encoder.paths)
+    tracemalloc.start()
+    gc.disable()
+    try:
+        encoder.encode(text)
+        assert len(encoder.paths) == 26**3 and tracemalloc.get_traced_memory()[0] / 26**3 < 180
+        del encoder
+        assert paths() is None
+    finally:
+        gc.enable()
+        tracemalloc.stop()
+
+
+def test_a_kept_text_goes_to_the_workers_once(awkward):
+    out = langid.predict(awkward, None, keep=awkward.columns, names=("lang_pred", "lang_score"))
+    assert out._jdf.queryExecution().analyzed().child().output().size() == len(awkward.columns)
+    assert sorted(map(str, out.select(awkward.columns).collect())) == sorted(map(str, awkward.collect()))
+
+
 # -- spans -------------------------------------------------------------------------------------------------------------
 
 SECRETS = {"assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
