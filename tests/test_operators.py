@@ -224,3 +224,18 @@ def test_query_phrase_looks_every_word_up_once(spark):
     df = spark.createDataFrame([("the of alpha, it. bravo charlie the delta echo foxtrot golfing hotel india of it",), ("one two",), (None,)], "a string").select(webcheck.query_phrase(F.col("a")).alias("v"))
     assert [r["v"] for r in df.collect()] == ["bravo charlie the delta echo foxtrot golfing hotel india", "one two", ""]
     assert "filter(slice" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_web_check_looks_for_a_phrase_once_and_keeps_its_first_page(spark):
+    line = "alpha bravo charlie delta echos foxtrot golfing hotels indigo juliet kilos limas."
+    short = "of | the | it | is | to | and | by | on | in | at | as | no"  # makes no match by itself, so all its pages are kept
+    docs = spark.createDataFrame([*[(i, f"{line} Word{i} is of it.") for i in range(40)], (50, short), (51, None), (52, "")], "doc_id long, text string")
+    held = "".join(x for x in short if x != "|")
+    pages = [(i, "u", f"<title>T</title><p>page {i} {line} {'more ' * i}</p>") for i in range(60, 0, -1)] + [(0, "v", ""), (1, "x", "<p>another of that number</p>"), *[(i, "w", f"<p>{held} {'some ' * (72 - i)}</p>") for i in (70, 71, 72)]]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    asked = [r["asked"] for r in webcheck.queries(docs).select(T.normalise(F.col("phrase")).alias("asked")).collect()]
+    p = pages.select("page_id", F.concat(F.lit(" "), T.normalise(webcheck.page_text(F.col("html"))), F.lit(" ")).alias("page"))
+    p = p.withColumn("shingles", T.shingles(F.split(F.trim("page"), " ")))
+    found = webcheck.first_pages(spark.createDataFrame([(x,) for x in asked], "asked string"), p, "page_id").collect()
+    assert len(asked) == 41 and sorted(r["page_id"] for r in found) == [1, 70, 71, 72]
+    assert {(r["doc_id"], r["page_id"], r["url"], r["risk"]) for r in webcheck.check(docs, pages).collect()} == {(i, 1, "u", "HIGH") for i in range(40)} | {(50, 70, "w", "HIGH")}
