@@ -30,8 +30,10 @@ BUCKET_BITS, DIM, MIN_N, MAX_N, SEGMENT = 17, 8, 3, 6, 8
 #: The classifier is fitted on at most about this many labelled rows of each class, none longer than SAMPLE_BYTES (longer
 #: rows are passed over by the sample, never cut; scoring reads every text whole).
 SAMPLE_ROWS, SAMPLE_BYTES = 1_600, 20_000
-#: Margins of at most so many words are kept by a worker.
-CACHE_WORDS = 200_000
+#: Margins of at most so many words are kept by a worker; words looked up at once; characters of new words hashed at once.
+CACHE_WORDS, BATCH_WORDS, BATCH_CHARS = 200_000, 20_000, 200_000
+#: Of words this long the n-grams are hashed in pieces.
+LONG = 10_000
 
 
 @dataclass
@@ -50,31 +52,62 @@ class ToxicityModel:
 
 
 class Margins(dict):
-    """The class margin of a word, kept for words seen before."""
+    """The class margins of words, kept for words seen before; new ones are taken many at a time."""
 
     def __init__(self, of_bucket: np.ndarray):
         self.of_bucket = of_bucket
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_WORDS:
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        self[word] = m = float(self.of_bucket[subwords(word)].mean(dtype=np.float64)) if len(word) < 10_000 else long_margin(word, self.of_bucket)
-        return m
-
-    def of_text(self, text: str) -> float:
-        """The margin of the most toxic segment, without the intercept."""
-        words = WORD.findall(text.lower())
-        if not words:
-            return 0.0
-        at = bounds(len(words))
-        sums = np.add.reduceat(np.fromiter(map(self.__getitem__, words), np.float64, len(words)), at)
-        return float((sums / np.diff(np.append(at, len(words)))).max())
+            new = set(words)
+        part, chars = [], 0
+        for word in new:
+            if len(word) >= LONG:
+                self[word] = long_margin(word, self.of_bucket)
+                continue
+            part.append(word)
+            chars += len(word)
+            if chars >= BATCH_CHARS:
+                self.update(zip(part, word_margins(part, self.of_bucket).tolist(), strict=True))
+                part, chars = [], 0
+        if part:
+            self.update(zip(part, word_margins(part, self.of_bucket).tolist(), strict=True))
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for at in range(0, len(words), BATCH_WORDS):
+            part = words[at : at + BATCH_WORDS]
+            self.learn(part)
+            out[at : at + len(part)] = np.fromiter(map(self.__getitem__, part), np.float64, len(part))
+        return out
+
+    def of_texts(self, texts: list[str]) -> list[float]:
+        """The margin of the most toxic segment of each text, without the intercept."""
+        out, words, sizes = [], [], []
+        for text in texts:
+            found = WORD.findall(text.lower())
+            words += found
+            sizes.append(len(found))
+            if len(words) >= BATCH_WORDS:
+                out += self.highest(words, sizes)
+                words, sizes = [], []
+        return out + self.highest(words, sizes)
+
+    def highest(self, words: list[str], sizes: list[int]) -> list[float]:
+        out, margins, of = [], self.of_words(words), 0
+        for n in sizes:
+            at = bounds(n)
+            out.append(float((np.add.reduceat(margins[of : of + n], at) / np.diff(np.append(at, n))).max()) if n else 0.0)
+            of += n
+        return out
 
 
 def calibrate(model: ToxicityModel, texts: list[str], labels: list[int], shares: dict[int, float], steps=25) -> ToxicityModel:
     """Scale and shift of the margin of whole texts, by Newton steps on texts not trained on; ``shares`` weighs the classes."""
     margins = Margins(model.margins())
-    z = np.clip(np.array([margins.of_text(t) for t in texts]) + model.bias, -30, 30)
+    z = np.clip(np.array(margins.of_texts(texts)) + model.bias, -30, 30)
     x, y, w = np.stack([z, np.ones_like(z)], 1), np.array(labels, float), np.array([shares[v] for v in labels])
     w = w / w.mean()
     at, prior = np.array([1.0, 0.0]), np.diag([0.5, 0.05])
@@ -95,6 +128,56 @@ def subwords(word: str) -> list[int]:
     return out
 
 
+def crc_table() -> np.ndarray:
+    """Remainders of the 256 bytes, for CRC-32 a byte at a time."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+CRC = crc_table()
+
+
+def fed(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """CRC-32 states after one more character each, in UTF-8."""
+    def byte(state, b):
+        return CRC[(state ^ b) & 0xFF] ^ (state >> 8)
+
+    wide = np.flatnonzero(codes >= 0x80)
+    if not len(wide):
+        return byte(state, codes)
+    c = codes[wide]
+    lead = codes.copy()
+    lead[wide] = np.select([c < 0x800, c < 0x10000], [0xC0 | c >> 6, 0xE0 | c >> 12], 0xF0 | c >> 18)
+    state = byte(state, lead)
+    for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80)):
+        at = wide[c >= least]
+        state[at] = byte(state[at], 0x80 | codes[at] >> shift & 0x3F)
+    return state
+
+
+def word_margins(words: list[str], margins: np.ndarray) -> np.ndarray:
+    """For each word the mean of the margins of its ``subwords``; n-grams that begin anywhere are hashed together."""
+    tagged, mask = [f"<{w}>" for w in words], (1 << BUCKET_BITS) - 1
+    codes = np.frombuffer("".join(tagged).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(codes >> 11 == 0x1B, np.uint32(ord("?")), codes)  # as "replace" does
+    sizes = np.fromiter(map(len, tagged), np.int64, len(tagged))
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))
+    at, state, sums = np.arange(len(codes)), np.full(len(codes), 0xFFFFFFFF, np.uint32), np.zeros(len(codes))
+    for n in range(1, MAX_N + 1):
+        if n > 1:
+            within = left[at] >= n
+            at, state = at[within], state[within]
+        state = fed(state, codes[at + (n - 1)])
+        if n >= MIN_N:
+            sums[at] += margins[~state & mask]
+    whole = margins[np.fromiter((crc32(s.encode("utf-8", "replace")) & mask for s in tagged), np.int64, len(tagged))]
+    counts = 1 + sum(np.maximum(sizes - n + 1, 0) for n in range(MIN_N, MAX_N + 1))
+    return (np.add.reduceat(sums, ends - sizes) + whole) / counts
+
+
 def bounds(n_words: int) -> np.ndarray:
     """Starts of the segments of a text: of near equal length, one at least."""
     k = max(1, round(n_words / SEGMENT))
@@ -204,10 +287,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col="text", keep=("
 
         known = Margins(margins)
 
-        def one(text):
-            return float(1.0 / (1.0 + np.exp(-np.clip(bias + known.of_text(text), -30, 30))))
-
-        return lambda texts: [[one(t) for t in texts]]
+        return lambda texts: [1.0 / (1.0 + np.exp(-np.clip(bias + np.array(known.of_texts(texts)), -30, 30)))]
 
     return map_texts(docs, text_col, make_kernel, [(name, "double")], list(keep))
 

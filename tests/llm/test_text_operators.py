@@ -72,6 +72,21 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark, labelled):
     assert seen[toxicity.subwords("blokhead")].mean() > seen[toxicity.subwords("brown")].mean()
 
 
+def test_margins_of_many_words_are_the_means_of_their_subwords(monkeypatch):
+    of_bucket = np.random.default_rng(3).normal(0, 1, 1 << toxicity.BUCKET_BITS).astype(np.float32)
+    words = ["a", "ab", "abc", "word", "é", "naïveté", "日本語テキスト", "😀x𝒳𝒴𝒵", "a\ud800b", "ß\uffffz", "y" * 9_999, "z" * 10_001, "ΣΑΣ"]
+    assert toxicity.Margins(of_bucket).of_words(words).tolist() == [pytest.approx(of_bucket[toxicity.subwords(w)].mean(dtype=np.float64), rel=1e-12) for w in words]
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 5)
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 4)
+    texts = ["", " . ", "one two three four", "one " * 9 + "blockhead nitwit five six seven eight nine ten", "é 日本語 😀"]
+    want = []
+    for text in texts:
+        found = toxicity.WORD.findall(text)
+        parts = np.split(np.array(found), toxicity.bounds(len(found))[1:]) if found else []
+        want.append(max((np.mean([of_bucket[toxicity.subwords(w)].mean(dtype=np.float64) for w in p]) for p in parts), default=0.0))
+    assert toxicity.Margins(of_bucket).of_texts(texts) == pytest.approx(want, rel=1e-12)
+
+
 def test_toxicity_on_awkward_rows(awkward, empty, labelled):
     model = toxicity.fit(labelled, labelled.select("doc_id", "toxic"))
     rows = toxicity.score(awkward, model).collect()
